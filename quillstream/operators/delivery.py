@@ -27,10 +27,10 @@ BITMAP_BYTES = 4_096
 
 
 def event_hash(type_col: str = "type", data_col: str = "data") -> Column:
-    """SHA-256 over both values in UTF-8, each after its length as 8 bytes, big end first."""
+    """SHA-256 over both values in UTF-8, each after its length as 8 bytes, big end first; null counts as empty."""
 
     def framed(name: str) -> Column:
-        raw = F.encode(F.col(name), "UTF-8")
+        raw = F.encode(F.coalesce(F.col(name), F.lit("")), "UTF-8")
         return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(raw).cast("long")), 16, "0")), raw)
 
     return F.unhex(F.sha2(F.concat(framed(type_col), framed(data_col)), 256))
