@@ -1,4 +1,4 @@
-"""All queries of the core, by name."""
+"""All queries of the core, by name, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,5 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def load() -> None:
+    from quillstream.plans import benchmark, capture, chunks, events, retrieval, sessions  # noqa: F401

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -36,16 +35,12 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write df into the shared folder and read it back."""
+def written(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """Cut the lineage: write df into the shared folder, partitioned by columns if any, and read it back."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def local_file(path: str) -> str:
-    return os.fspath(path).removeprefix("file://")
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def utc_micros(name: str) -> Column:
