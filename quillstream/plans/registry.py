@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from quillstream.plans import benchmark, capture, chunks, events, retrieval, sessions  # noqa: F401
+    from quillstream.plans import benchmark, capture, chunks, events, retrieval, sessions, streams  # noqa: F401
