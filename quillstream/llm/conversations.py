@@ -77,7 +77,7 @@ def digests(records: DataFrame) -> DataFrame:
             )
 
     kept = records.where("session_uuid is not null and uuid is not null and not coalesce(is_sidechain, false)")
-    narrow = kept.select("session_uuid", "uuid", "parent_uuid", "message", "record_type", F.coalesce(F.col("ingested_at").cast("timestamp"), F.lit(dt.datetime(1970, 1, 1))).alias("arrived"))
+    narrow = kept.select("session_uuid", "uuid", "parent_uuid", "message", "record_type", F.col("ingested_at").cast("timestamp").alias("arrived"))
     return narrow.mapInArrow(run, DIGEST)
 
 
@@ -129,8 +129,8 @@ def _keeper(idle_ms: int, most: int):
         records = held["records"]
         for frame in frames:
             rows = list(zip(frame["uuid"], frame["parent_uuid"], frame["is_turn"], frame["speaker"], frame["has_result"], frame["readable"], strict=True))
-            last = int(frame["arrived"].max().timestamp() * 1000)
-            held["last"] = max(held["last"], last)
+            last = frame["arrived"].max()
+            held["last"] = max(held["last"], 0 if pd.isna(last) else int(last.timestamp() * 1000))
             for uuid, parent, turn, speaker, result, readable in rows:
                 records.setdefault(uuid, [parent, bool(turn), speaker, bool(result), bool(readable)])
             if held["loose"] or len(records) > most:
@@ -158,7 +158,7 @@ def _run_stream(spark: SparkSession, path: str, idle_timeout: str, lateness: str
     stream = live.unionByName(spark.readStream.schema(digest_schema).parquet(closing)).withWatermark("arrived", lateness)
     idle_ms = int(pd.Timedelta(idle_timeout).total_seconds() * 1000)
     closed = (
-        stream.where(F.col("arrived") < F.lit(FAR - dt.timedelta(days=1)))
+        stream.where(F.coalesce(F.col("arrived") < F.lit(FAR - dt.timedelta(days=1)), F.lit(True)))
         .groupBy("session_uuid")
         .applyInPandasWithState(_keeper(idle_ms, max_state_records), EMITTED, "held string", "append", GroupStateTimeout.EventTimeTimeout)
     )
@@ -215,8 +215,8 @@ def sound_conversations(spark: SparkSession, path: str, idle_timeout: str = "14
     """(session_uuid, turn_no, uuid, speaker) of all sound conversations of the record table at path.
 
     Rows without session_uuid or uuid and sidechain rows are set aside; repeated
-    uuids of a session are one record, whose first arrival counts.  A missing
-    ingested_at counts as 1970.  Broken, empty and unanswered conversations and
+    uuids of a session are one record, whose first arrival counts.  Rows without
+    ingested_at are never late and don't move the watermark.  Broken, empty and unanswered conversations and
     empty tables give no rows.  Extra columns don't matter.
     """
     out = _run_stream(spark, path, idle_timeout, lateness, max_state_records, files_per_trigger, shared_dir(spark, "conversations"))

@@ -69,8 +69,8 @@ def plan_shares(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
     joined = joined.withColumn("capacity", F.when(usable, F.col("source_tokens") * F.col("max_repeats")).otherwise(0))
     over = Window.partitionBy(F.lit(0))  # one row per target
     joined = joined.withColumn("weight", F.when(F.col("capacity") > 0, F.col("target_weight")).otherwise(0.0))
-    joined = joined.withColumn("weight", F.col("weight") / F.sum("weight").over(over))
-    largest = F.min(F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight"))).over(over)
+    joined = joined.withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), F.sum("weight").over(over)), F.lit(0.0)))
+    largest = F.min(F.try_divide(F.col("capacity"), F.nullif(F.col("weight"), F.lit(0.0)))).over(over)
     total = F.lit(float(total_tokens)) if total_tokens is not None else largest
     return joined.withColumn("total", F.coalesce(total, F.lit(0.0))).withColumn("take", F.least(F.col("capacity").cast("double"), F.col("total") * F.col("weight")))
 
@@ -138,17 +138,18 @@ def mixture_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_rows"), F.max("repeat_no").alias("most_repeats"))
     joined = targets.join(got, "source", "left").fillna(0, ["n_tokens", "n_rows", "most_repeats"])
     total = F.sum("n_tokens").over(Window.partitionBy(F.lit(0)))
-    return joined.withColumn("actual_share", F.when(total > 0, F.col("n_tokens") / total).otherwise(0.0))
+    return joined.withColumn("actual_share", F.coalesce(F.try_divide(F.col("n_tokens"), total), F.lit(0.0)))
 
 
 def with_texts(mixed: DataFrame, docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """The mixture with the text of every piece."""
+    columns = mixed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = encoder(tokenizer)
         for b in batches:
             texts = [vocabulary.decode(vocabulary.encode_ordinary(t)[i : i + n]) for t, i, n in zip(*(b.column(c).to_pylist() for c in ("text", "token_from", "n_tokens")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in mixed.columns), pa.array(texts, pa.string())], names=[*mixed.columns, "text"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string())], names=[*columns, "text"])
 
-    joined = mixed.join(docs.select("doc_id", "text"), "doc_id").select(*mixed.columns, "text")
+    joined = mixed.join(docs.select("doc_id", "text"), "doc_id").select(*columns, "text")
     return joined.mapInArrow(run, joined.schema)
