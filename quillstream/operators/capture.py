@@ -50,7 +50,7 @@ def normal_path(path: Column, cwd: Column, root: Column) -> Column:
 
 def parsed(commands: DataFrame) -> DataFrame:
     """Adds program, subcommand, args and pipeline of `command`; assignments before the program are dropped."""
-    tokens = F.transform(F.regexp_extract_all("command", F.lit(r"""((?:"[^"]*"|'[^']*'|[^\s"'])+)"""), F.lit(1)), lambda t: F.regexp_replace(t, "[\"']", ""))
+    tokens = F.transform(F.regexp_extract_all("command", F.lit(r"""((?:"[^"]*+"|'[^']*+'|[^\s"']++|["'])++)"""), F.lit(1)), lambda t: F.regexp_replace(t, "[\"']", ""))
     assigned = r"^[A-Za-z_][A-Za-z0-9_]*="
     first = F.filter(F.transform(tokens, lambda t, i: F.when(~t.rlike(assigned) & (t != "env"), i)), lambda i: i.isNotNull())
     kept = F.slice(tokens, F.coalesce(F.element_at(F.col("__first"), 1), F.size(tokens)) + 1, F.greatest(F.size(tokens), F.lit(1)))

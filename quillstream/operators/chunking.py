@@ -218,7 +218,7 @@ def metric_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     folded = folded.select("doc_id", "line_no", "line", family.alias("family"), (F.col("meta") != "").alias("is_meta"))
     none = folded.groupBy("doc_id").agg(F.count("family").alias("n")).where("n = 0").select("doc_id")
     known = folded.where("family is not null")
-    labels = F.regexp_extract_all("line", F.lit(r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'), F.lit(0))
+    labels = F.regexp_extract_all("line", F.lit(r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'), F.lit(0))
     pairs = F.transform(F.filter(labels, lambda x: ~x.rlike(r"^(le|quantile)\s*=")), lambda x: F.regexp_replace(F.regexp_replace(x, r'\s*=\s*"', "="), r'"$', ""))
     known = known.withColumn("labels", F.when(~F.col("is_meta"), F.array_join(F.array_sort(pairs), ",")))
     kinds = declared.select("doc_id", F.col("base").alias("family"), "type")

@@ -56,11 +56,11 @@ def vocabulary(texts: DataFrame, group: str, text: str) -> DataFrame:
     return words.groupBy(group, "word").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
-def prose_vocabulary(texts: DataFrame, group: str, text: str) -> DataFrame:
-    """As `vocabulary`, over stems without stop words; each distinct word is stemmed once, not each token."""
-    words = texts.select(group, F.monotonically_increasing_id().alias("__t"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
+def prose_vocabulary(texts: DataFrame, group: str, key: str, text: str) -> DataFrame:
+    """As `vocabulary`, over stems without stop words, of texts with a key; each distinct word is stemmed once, not each token."""
+    words = texts.select(group, key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
     stems = words.select("word").distinct().withColumn("lexeme", stemmed("word"))
-    pairs = words.join(stems, "word").select(group, "__t", "lexeme").distinct()
+    pairs = words.join(stems, "word").select(group, key, "lexeme").distinct()
     return pairs.groupBy(group, F.col("lexeme").alias("word")).agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
@@ -100,7 +100,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     stats = sums.select("cls", "n_docs", F.explode(F.create_map(*[x for f in WEIGHTS for x in (F.lit(f), F.col(f))])).alias("field", "mean_dl"))
     df = found.groupBy("cls", "field", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), ["cls", "field"])  # stats: two rows per class
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.coalesce(F.try_divide(F.col("dl"), F.col("mean_dl")), F.lit(0.0)))
     weight = F.when(F.col("field") == "title", WEIGHTS["title"]).otherwise(WEIGHTS["content"])
     scored = found.join(df, ["cls", "field", "term"]).withColumn("part", weight * idf * F.col("tf") * (K1 + 1) / norm)
     by_term = scored.groupBy("cls", "id", "term").agg(F.sum("part").alias("part"))

@@ -58,7 +58,7 @@ def vocabulary_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vocabulary_prose_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.prose_vocabulary(read_table(spark, sf_dir, "documents").where("content_type <> 'code'"), "source", "text")
+    return T.prose_vocabulary(read_table(spark, sf_dir, "documents").where("content_type <> 'code'"), "source", "doc_id", "text")
 
 
 @query(f"""SELECT source, word, delta FROM (SELECT source, word, sum(n)::BIGINT AS delta FROM (
