@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import pieces as P
 from quillstream.operators import chunking as C
 from quillstream.operators import inorder
+from quillstream.sources.tables import written
 
 SCHEMA = "doc_id long, label string, text string, format string, content_type string"
 
@@ -57,7 +58,7 @@ def test_record_titles(record, title):
 
 
 def test_pages_in_order(spark):
-    (chunks,) = [C.chunks(spark.createDataFrame([(1, "lab", "\n\n".join("é" * 100 for _ in range(40)), "text", None), (2, "lab", "y" * 4000, "text", None), (3, None, None, None, None)], SCHEMA)).withColumn("label", F.lit("lab"))]
+    chunks = written(C.chunks(spark.createDataFrame([(1, "lab", "\n\n".join("é" * 100 for _ in range(40)), "text", None), (2, "lab", "y" * 4000, "text", None), (3, None, None, None, None)], SCHEMA)), "chunks").withColumn("label", F.lit("lab"))
     page = inorder.pages(chunks, 1000)
     rows = {k: sorted((r.ordinal, len(r.snippet), r.truncated, r.used_bytes) for r in page.where(F.col("doc_id") == k).collect()) for k in (1, 2)}
     size = len('{"title":"","snippet":"","source":"lab","match_layer":"document"}') + 60 * 2 + 200
