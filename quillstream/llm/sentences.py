@@ -113,10 +113,12 @@ def blocks(text: str, code: bool) -> Iterator[tuple[str, int, int, str | None]]:
             yield from closed()
             yield "line", start, end, None
         elif head == ">" and (m := QUOTE.match(line)):
-            if held and held[-1][0] != "quote":
+            if held and held[-1][0] != "quote" or not line[m.end() :].strip():
                 yield from closed()
-            held.append(("quote", start, end, " " * m.end() + line[m.end() :]))
-        elif (head in "-*+•" or head.isdigit()) and (m := ITEM.match(line)):
+            if line[m.end() :].strip():
+                held.append(("quote", start, end, " " * m.end() + line[m.end() :]))
+        elif (head in "-*+•" or head.isdigit()) and (m := ITEM.match(line)) and not (held and held[-1][0] == "text" and head.isdigit() and m[0].strip()[:-1] != "1"):
+            # Within a paragraph only a 1 begins a numbered list: other figures are a wrapped line's.
             yield from closed()
             yield "prose", start, end, " " * m.end() + line[m.end() :]
         else:

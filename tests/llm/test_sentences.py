@@ -71,6 +71,11 @@ def test_layout(counts):
     assert parts("", counts) == parts(" \n\t\n", counts) == []
 
 
+def test_wrapped_ordinal_and_bare_quote_mark(counts):
+    assert parts("Der\n5. Lauf war u. a. zu langsam.", counts) == ["Der\n5. Lauf war u. a. zu langsam."]
+    assert parts("> Is it late\n>\n> The queue was empty.", counts) == ["Is it late", "The queue was empty."]
+
+
 def test_forward_backward_is_exact():
     odds = [0.3, -0.2, 1.0]
     w, short = np.exp(odds), np.exp(S.SHORT)
