@@ -139,3 +139,35 @@ def parsed_labels(labels: Column) -> Column:
     rest = F.regexp_replace(labels, r"@[a-z2-7]{6}$", "")
     seq = F.regexp_extract(rest, r"#(\d+)$", 1)
     return F.struct(F.regexp_replace(rest, r"#\d+$", "").alias("base"), F.nullif(seq, F.lit("")).try_cast("long").alias("seq"), token.alias("token"))
+
+
+# ---- what a command shows ----------------------------------------------------------
+
+#: Bytes shown whole, bytes of a failure shown whole, of its head.
+INLINE_MOST, FAILURE_MOST, FAILURE_HEAD = 4096, 16_384, 4096
+
+
+def payload(stdout: Column, stderr: Column) -> Column:
+    """Both streams as one text: each under its mark if both hold something, a blank error stream left out."""
+    out, err = F.coalesce(stdout, F.lit("")), F.coalesce(stderr, F.lit(""))
+    marked = F.concat(F.lit("[stderr]\n"), err)
+    gap = F.when(out.endswith("\n"), "\n").otherwise("\n\n")
+    both = F.concat(F.lit("[stdout]\n"), out, gap, marked)
+    told = F.length(F.regexp_replace(err, r"\s+", "")) > 0
+    return F.when(told & (out != ""), both).when(told, marked).otherwise(out)
+
+
+def presentation(text: Column, failed: Column) -> Column:
+    """How a payload is shown: inline, whole or cut failure, or as a compact summary."""
+    size = F.octet_length(text)
+    return F.when(size <= INLINE_MOST, "inline").when(failed & (size <= FAILURE_MOST), "failure").when(failed, "failure_cut").otherwise("compact")
+
+
+def line_range(text: Column, start: int = 0, end: int = 0) -> Column:
+    """Lines start to end of a text, from 1 and both included; 0 is the begin or the end; null if start lies past the last line."""
+    lines = F.regexp_extract_all(text, F.lit(r"([^\n]*\n|[^\n]+)"), F.lit(1))
+    if start <= 1 and end == 0:
+        return text
+    first = max(start, 1)
+    count = F.size(lines) - first + 1 if end == 0 else F.lit(max(end - first + 1, 0))
+    return F.when(F.size(lines) >= first, F.array_join(F.slice(lines, first, count), ""))

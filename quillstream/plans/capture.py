@@ -57,3 +57,23 @@ def capture_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = read_table(spark, sf_dir, "observe_events").groupBy("session_uuid", F.col("command").alias("source")).agg(F.max("event_id").alias("last_id"))
     order = Window.partitionBy("session_uuid").orderBy(F.col("last_id").desc())
     return last.withColumn("position", F.row_number().over(order).cast("long")).where("position <= 20").select("source", "last_id", "position")
+
+
+_PAYLOAD = r"""CASE WHEN length(regexp_replace(coalesce(stderr, ''), '\s+', '', 'g')) > 0 AND coalesce(stdout, '') <> ''
+  THEN '[stdout]' || chr(10) || stdout || CASE WHEN suffix(stdout, chr(10)) THEN chr(10) ELSE chr(10) || chr(10) END || '[stderr]' || chr(10) || stderr
+  WHEN length(regexp_replace(coalesce(stderr, ''), '\s+', '', 'g')) > 0 THEN '[stderr]' || chr(10) || stderr ELSE coalesce(stdout, '') END"""
+
+
+@query(f"""SELECT event_id, octet_length(encode(p)) AS n_bytes, md5(p) AS digest, CASE WHEN octet_length(encode(p)) <= 4096 THEN 'inline'
+  WHEN failed AND octet_length(encode(p)) <= 16384 THEN 'failure' WHEN failed THEN 'failure_cut' ELSE 'compact' END AS shown
+  FROM (SELECT event_id, coalesce(exit_code <> 0, false) AS failed, {_PAYLOAD} AS p FROM observe_events)""")
+def capture_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = read_table(spark, sf_dir, "observe_events").withColumn("p", capture.payload(F.col("stdout"), F.col("stderr")))
+    failed = F.coalesce(F.col("exit_code") != 0, F.lit(False))
+    return seen.select("event_id", F.octet_length("p").cast("long").alias("n_bytes"), F.md5("p").alias("digest"), capture.presentation(F.col("p"), failed).alias("shown"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN len(ls) >= 3 THEN md5(array_to_string(ls[3:8], '')) END AS digest FROM (SELECT doc_id, regexp_extract_all(text, '([^\n]*\n|[^\n]+)') AS ls FROM documents WHERE text IS NOT NULL)""")
+def documents_line_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", F.md5(capture.line_range(F.col("text"), 3, 8)).alias("digest"))

@@ -144,6 +144,35 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sized(spark, sf_dir).select("query_id", "id", "snippet", "fallback", "size")
 
 
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation item: hits, bytes, and success, degraded or retry (a required item without hits).
+
+    It is a success if any hit's source, title or snippet holds any of the item's terms.
+    """
+    hits = written(_sized(spark, sf_dir).select("query_id", "source", "title", "snippet", "size", "layer"), "sized-hits")
+    terms = T.query_terms(_queries(spark, sf_dir), "text").groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    text = F.lower(F.concat_ws(" ", "source", "title", "snippet"))
+    told = hits.join(T.small(terms), "query_id").withColumn("told", F.exists("terms", lambda t: F.contains(text, t)))
+    by = told.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.sum("size").alias("n_bytes"), F.max("told").alias("told"))
+    items = read_table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), F.coalesce("suite", F.lit("")).alias("suite"), "is_required")
+    joined = items.join(by, "query_id", "left").fillna(0, ["n_hits", "n_bytes"])
+    outcome = F.when((F.col("n_hits") == 0) & F.coalesce("is_required", F.lit(False)), "retry").when(F.coalesce("told", F.lit(False)), "success").otherwise("degraded")
+    return joined.withColumn("outcome", outcome)
+
+
+@query()
+def eval_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(spark, sf_dir).select("query_id", "suite", "n_hits", "n_bytes", "outcome")
+
+
+@query()
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per suite: items by outcome, bytes shown, and how many times larger the corpus is."""
+    raw = read_table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).first()[0]  # one number
+    by = _outcomes(spark, sf_dir).groupBy("suite").agg(F.count(F.lit(1)).alias("n_items"), *[F.sum((F.col("outcome") == o).cast("int")).alias(f"n_{o}") for o in ("success", "degraded", "retry")], F.sum("n_bytes").alias("shown_bytes"))
+    return by.withColumn("raw_bytes", F.lit(raw).cast("long")).withColumn("compression", F.round(F.try_divide("raw_bytes", "shown_bytes"), 2))
+
+
 def _allocation(variant: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return H.allocate(_sized(spark, sf_dir), 4096, variant)

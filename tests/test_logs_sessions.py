@@ -103,6 +103,16 @@ def test_long_labels_blank_commands_and_secrets(spark):
     assert (parts.base, parts.seq, parts.token) == ("a:b", 12, "abcdef")
 
 
+def test_payloads_and_line_ranges(spark):
+    rows = [("a\n", "e", "inline"), ("a", "e", "inline"), (None, "e", "inline"), ("a", " \n", "inline"), ("x" * 5000, None, "compact")]
+    df = spark.createDataFrame(rows, "o string, e string, want string").withColumn("p", capture.payload(F.col("o"), F.col("e")))
+    assert [r.p for r in df.collect()][:4] == ["[stdout]\na\n\n[stderr]\ne", "[stdout]\na\n\n[stderr]\ne", "[stderr]\ne", "a"]
+    assert df.where(capture.presentation(F.col("p"), F.lit(False)) != F.col("want")).count() == 0
+    text = F.lit("1\n2\n\n4")
+    got = spark.range(1).select(capture.line_range(text, 2, 3), capture.line_range(text, 4), capture.line_range(text, 5), capture.line_range(text, 0, 1), capture.line_range(text)).first()
+    assert tuple(got) == ("2\n\n", "4", None, "1\n", "1\n2\n\n4")
+
+
 def test_transcript_habits(spark):
     def use(k, name, path):
         return json.dumps({"id": f"m{k // 2}", "usage": {"output_tokens": 5}, "content": [{"type": "tool_use", "id": f"t{k}", "name": name, "input": {"path": path}}]})
