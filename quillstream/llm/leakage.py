@@ -54,7 +54,7 @@ CHARACTERS = Partition(shingle=10, window=21, run=30, near=0)
 
 
 def normalised(text: str) -> str:
-    return (text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower()
+    return (text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).casefold()
 
 
 def words(text: str) -> list[str]:

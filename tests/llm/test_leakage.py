@@ -86,3 +86,9 @@ def test_on_spark(spark):
     assert {(r.item_id, r.n_docs) for r in L.leaked_items(pairs, items).collect()} == {(7, 3), (8, 1), (9, 0), (10, 0)}
     assert L.leaked_pairs(docs.where(F.lit(False)), items).count() == 0
     assert L.leaked_pairs(docs, items.where(F.lit(False))).count() == 0
+
+
+def test_letter_case_of_any_script():
+    item = ["straße", "größe", *ITEM[:20]]
+    shouted = L.words(" ".join(item).upper())
+    assert search([shouted], [(1, L.words(" ".join(item)))]) == {(0, 1)}
