@@ -30,6 +30,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
+def token_count(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"))
+
+
 def _stems(words: pd.Series) -> pd.Series:
     return words.map(stem)
 
@@ -94,8 +98,8 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, cls, id, score, matches_all): BM25 over title and content with statistics of each class and field."""
     terms = queries.select("query_id", "term").distinct()
-    found = postings(docs, terms)
-    lengths = docs.select("cls", *[F.size(tokens(F.col(f))).alias(f) for f in WEIGHTS])
+    found = written(postings(docs, terms), "postings")  # used twice; the texts are scanned once for it
+    lengths = docs.select("cls", *[token_count(F.col(f)).alias(f) for f in WEIGHTS])
     sums = lengths.groupBy("cls").agg(F.count(F.lit(1)).alias("n_docs"), *[F.avg(f).alias(f) for f in WEIGHTS])
     stats = sums.select("cls", "n_docs", F.explode(F.create_map(*[x for f in WEIGHTS for x in (F.lit(f), F.col(f))])).alias("field", "mean_dl"))
     df = found.groupBy("cls", "field", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), ["cls", "field"])  # stats: two rows per class

@@ -9,7 +9,7 @@ from quillstream.functions.wire import hit_wire_size
 from quillstream.operators import hits as H
 from quillstream.operators import textindex as T
 from quillstream.plans.registry import query
-from quillstream.sources.tables import read_table, written
+from quillstream.sources.tables import read_table, spread, written
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 _TITLE = "coalesce(substr(trim(split_part(text, chr(10), 1), ' ' || chr(9) || chr(13) || chr(160)), 1, 60), '')"
@@ -34,7 +34,7 @@ _FUSED = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matches_a
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.corpus(read_table(spark, sf_dir, "documents"))
+    return T.corpus(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "content_type", "source")))
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,12 @@ def written(df: DataFrame, what: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its scan would use less than half of them (one small file); else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def utc_micros(name: str) -> Column:
     """Microseconds since 1970 of a zone-less or zoned time column."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({name} as timestamp_ntz))")
