@@ -182,6 +182,15 @@ def trigram_hits(docs: DataFrame, terms: DataFrame, exclude: DataFrame | None =
     return found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= room).select("query_id", "id", "relevance", "position")
 
 
+def layered(docs: DataFrame, first: DataFrame, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(query_id, id, score, matches_all, position, layer): all fused hits of a query, filled up to the limit by the fallback over `terms`."""
+    first = written(first.select("query_id", "id", "score", "matches_all", "position"), "hits")
+    more = trigram_hits(docs, terms, first, limit)
+    taken = first.groupBy("query_id").agg(F.max("position").alias("taken"))
+    more = more.join(taken, "query_id", "left").select("query_id", "id", F.col("relevance").alias("score"), F.lit(True).alias("matches_all"), (F.col("position") + F.coalesce("taken", F.lit(0))).alias("position"))
+    return first.withColumn("layer", F.lit("primary")).unionByName(more.withColumn("layer", F.lit("trigram")))
+
+
 def banded(hits: DataFrame, response: str) -> DataFrame:
     """Relevance of hits (layer, matches_all, score) spread over the band of their layer, per response; a lone score gets the band's top."""
     over = Window.partitionBy(response, "layer", "matches_all")

@@ -113,14 +113,10 @@ def search_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both layers: ranked hits with all terms, filled up by the fallback."""
+    """Both layers: ranked hits, those with all terms before those with some, filled up by the fallback."""
     corpus = _corpus(spark, sf_dir)
     first = T.fused(T.class_ranks(T.bm25_scores(corpus, T.query_terms(_queries(spark, sf_dir), "text"))))
-    first = written(first.where("matches_all").select("query_id", "id", "score", "matches_all", "position"), "hits")
-    more = T.trigram_hits(corpus, _fragments(spark, sf_dir), exclude=first)
-    taken = first.groupBy("query_id").agg(F.max("position").alias("taken"))
-    more = more.join(taken, "query_id", "left").select("query_id", "id", F.col("relevance").alias("score"), F.lit(True).alias("matches_all"), (F.col("position") + F.coalesce("taken", F.lit(0))).alias("position"))
-    both = first.withColumn("layer", F.lit("primary")).unionByName(more.withColumn("layer", F.lit("trigram")))
+    both = T.layered(corpus, first, _fragments(spark, sf_dir))
     both = both.withColumns({"request_id": F.expr("query_id div 10"), "qi": F.expr("cast(query_id % 10 as int)")})
     return written(T.banded(both, "request_id"), "response")
 

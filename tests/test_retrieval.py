@@ -74,6 +74,14 @@ def test_tiers_weights_and_empty(spark):
     assert T.bm25_scores(docs.limit(0), queries).count() == 0
 
 
+def test_partial_hits_stay_in_the_response(spark):
+    docs = spark.createDataFrame([(1, "prose", "", "alpha beta"), (2, "prose", "", "alpha only"), (3, "prose", "", "alphabet betas"), (4, "prose", "", "gamma")], CORPUS)
+    queries = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, "gamma"), (2, "absent")], "query_id long, term string")
+    both = T.layered(docs, T.fused(T.class_ranks(T.bm25_scores(docs, queries))), queries)
+    got = sorted((r.query_id, r.position, r.id, r.layer, r.matches_all) for r in T.banded(both, "query_id").collect())
+    assert got == [(1, 1, 1, "primary", True), (1, 2, 2, "primary", False), (1, 3, 3, "trigram", True), (2, 1, 4, "primary", False)]
+
+
 def test_similar_words(spark):
     words = spark.createDataFrame([("handlelinkererror",), ("sessionpoolwrapper",), ("openconnectionpool",)], "word string")
     terms = spark.createDataFrame([("linkererror",), ("userpoolwrapper",), ("connectionpool",)], "term string")
