@@ -29,7 +29,7 @@ def calls(records: DataFrame) -> DataFrame:
     owner = once.select("record_id", "session_uuid")
     uses = variant_table(flat, "tool_use").join(owner, "record_id")
     results = variant_table(flat, "tool_result").join(owner, "record_id").select("session_uuid", "tool_id", "record_id", "pos", "is_error")
-    body = flat.where("child = 'part' and variant = 'text'").groupBy("record_id", "pos").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
+    body = flat.where("child = 'part' and variant = 'text' or child = 'block' and variant = 'tool_result'").groupBy("record_id", "pos").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
     served = results.join(body, ["record_id", "pos"], "left")
     last = served.groupBy("session_uuid", "tool_id").agg(F.max_by(F.struct(F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), "is_error"), F.struct("record_id", "pos")).alias("last"))
     joined = uses.join(last, ["session_uuid", "tool_id"], "left")

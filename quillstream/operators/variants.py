@@ -98,6 +98,8 @@ def _object(child: str, pos: int, sub: int, value: object) -> dict:
         row |= {"tool_id": _string(value.get("id")), "name": value.get("name"), "input": compact(value["input"]) if value.get("input") is not None else None}
     elif variant == "tool_result":
         row |= {"tool_id": value.get("tool_use_id"), "is_error": value.get("is_error") is True}
+        if isinstance(value.get("content"), str):  # other content gives parts
+            row["text"] = value["content"]
     elif variant == "media":
         source = value.get("source")
         row["media_type"] = _string(source.get("media_type")) if isinstance(source, dict) else None

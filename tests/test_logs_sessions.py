@@ -127,6 +127,17 @@ def test_transcript_habits(spark):
     assert (verdict.median_ratio, verdict.verdict, verdict.needs_more) == (0.6, "viable", True)
 
 
+def test_bytes_of_string_results(spark):
+    def message(*blocks):
+        return json.dumps({"content": list(blocks)})
+
+    uses = [{"type": "tool_use", "id": f"t{k}", "name": "Read", "input": {}} for k in range(4)]
+    results = [{"type": "tool_result", "tool_use_id": f"t{k}", "content": c} for k, c in enumerate(["größe", [{"type": "text", "text": "abc"}, "de"], None])]
+    rows = [(1, "s", "a", False, message(*uses), None), (2, "s", "b", False, message(*results), None)]
+    df = spark.createDataFrame(rows, "record_id long, session_uuid string, uuid string, is_sidechain boolean, message string, attachment string")
+    assert [r.n_bytes for r in transcripts.calls(df).orderBy("call_no").collect()] == [7, 5, 0, None]
+
+
 def test_streams(spark, tmp_path):
     rows = [(k, 1, "t", 1, "{}", b"h" if k % 2 else None, AT + dt.timedelta(minutes=k * 20), AT + dt.timedelta(minutes=k * 20)) for k in range(10)]
     path = str(tmp_path / "e.parquet")
