@@ -81,10 +81,10 @@ def vocabulary_delta(old: DataFrame, new: DataFrame, group: str, text: str) -> D
     return both.groupBy(group, "word").agg(F.sum("doc_freq").alias("delta")).where("delta <> 0")
 
 
-def query_terms(queries: DataFrame, text: str, n: int = 3, least: int = 5) -> DataFrame:
-    """(query_id, term) of rows (query_id, text): the first n distinct tokens of at least `least` letters."""
-    long = F.filter(tokens(F.col(text)), lambda t: F.length(t) >= least)
-    return queries.select("query_id", F.explode(F.slice(F.array_distinct(long), 1, n)).alias("term"))
+def query_terms(queries: DataFrame, text: str, n: int | None = 3, least: int = 5) -> DataFrame:
+    """(query_id, term) of rows (query_id, text): the first n (None: all) distinct tokens of at least `least` letters."""
+    long = F.array_distinct(F.filter(tokens(F.col(text)), lambda t: F.length(t) >= least))
+    return queries.select("query_id", F.explode(long if n is None else F.slice(long, 1, n)).alias("term"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -107,7 +107,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     norm = F.col("tf") + K1 * (1 - B + B * F.coalesce(F.try_divide(F.col("dl"), F.col("mean_dl")), F.lit(0.0)))
     weight = F.when(F.col("field") == "title", WEIGHTS["title"]).otherwise(WEIGHTS["content"])
     scored = found.join(df, ["cls", "field", "term"]).withColumn("part", weight * idf * F.col("tf") * (K1 + 1) / norm)
-    by_term = scored.groupBy("cls", "id", "term").agg(F.sum("part").alias("part"))
+    # By text from here on: what queries of many terms share with a text is summed where it lies.
+    by_term = scored.repartition("cls", "id").groupBy("cls", "id", "term").agg(F.sum("part").alias("part"))
     counts = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     wanted = small(terms.join(counts, "query_id"))
     return (
@@ -148,7 +149,8 @@ def similar_words(words: DataFrame, terms: DataFrame, least: float = SIMILAR) ->
 
     Each distinct word meets only the terms with which it shares a trigram.
     """
-    grams = terms.select("term").distinct().withColumn("grams", trigrams(F.col("term")))
+    of_words = F.array_distinct(F.flatten(F.transform(tokens(F.col("term")), trigrams)))  # a term may hold marks
+    grams = terms.select("term").distinct().withColumn("grams", of_words)
     wanted = small(grams.select("term", F.size("grams").alias("n_term"), F.explode("grams").alias("gram")))
     own = words.select("word").distinct().withColumn("grams", trigrams(F.col("word")))
     shared = own.select("word", F.size("grams").alias("n_word"), F.explode("grams").alias("gram")).join(wanted, "gram")
@@ -185,8 +187,9 @@ def trigram_hits(docs: DataFrame, terms: DataFrame, exclude: DataFrame | None =
 def layered(docs: DataFrame, first: DataFrame, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(query_id, id, score, matches_all, position, layer): all fused hits of a query, filled up to the limit by the fallback over `terms`."""
     first = written(first.select("query_id", "id", "score", "matches_all", "position"), "hits")
-    more = trigram_hits(docs, terms, first, limit)
     taken = first.groupBy("query_id").agg(F.max("position").alias("taken"))
+    open_terms = terms.join(taken.where(F.col("taken") >= limit), "query_id", "left_anti")
+    more = trigram_hits(docs, open_terms, first, limit)
     more = more.join(taken, "query_id", "left").select("query_id", "id", F.col("relevance").alias("score"), F.lit(True).alias("matches_all"), (F.col("position") + F.coalesce("taken", F.lit(0))).alias("position"))
     return first.withColumn("layer", F.lit("primary")).unionByName(more.withColumn("layer", F.lit("trigram")))
 

@@ -114,9 +114,9 @@ def search_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both layers: ranked hits, those with all terms before those with some, filled up by the fallback."""
-    corpus = _corpus(spark, sf_dir)
-    first = T.fused(T.class_ranks(T.bm25_scores(corpus, T.query_terms(_queries(spark, sf_dir), "text"))))
-    both = T.layered(corpus, first, _fragments(spark, sf_dir))
+    corpus, queries = _corpus(spark, sf_dir), _queries(spark, sf_dir)
+    first = T.fused(T.class_ranks(T.bm25_scores(corpus, T.query_terms(queries, "text", None, 1))))
+    both = T.layered(corpus, first, T.fallback_terms(queries, "text"))
     both = both.withColumns({"request_id": F.expr("query_id div 10"), "qi": F.expr("cast(query_id % 10 as int)")})
     return written(T.banded(both, "request_id"), "response")
 
@@ -143,10 +143,10 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation item: hits, bytes, and success, degraded or retry (a required item without hits).
 
-    It is a success if any hit's source, title or snippet holds any of the item's terms.
+    It is a success if any hit's source, title or snippet holds any of the item's terms of at least five letters.
     """
     hits = written(_sized(spark, sf_dir).select("query_id", "source", "title", "snippet", "size", "layer"), "sized-hits")
-    terms = T.query_terms(_queries(spark, sf_dir), "text").groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    terms = T.query_terms(_queries(spark, sf_dir), "text", None).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
     text = F.lower(F.concat_ws(" ", "source", "title", "snippet"))
     told = hits.join(T.small(terms), "query_id").withColumn("told", F.exists("terms", lambda t: F.contains(text, t)))
     by = told.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.sum("size").alias("n_bytes"), F.max("told").alias("told"))

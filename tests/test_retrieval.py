@@ -82,6 +82,20 @@ def test_partial_hits_stay_in_the_response(spark):
     assert got == [(1, 1, 1, "primary", True), (1, 2, 2, "primary", False), (1, 3, 3, "trigram", True), (2, 1, 4, "primary", False)]
 
 
+def test_whole_queries_and_fallback_terms(spark, tmp_path):
+    from quillstream.plans import retrieval
+
+    docs = [(1, "a fox", "prose", "s"), (2, "handlelinkererror stands here", "prose", "s"), (3, "seventh", "prose", "s"), (4, "nothing", "prose", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, content_type string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, "first second third fourth fifth sixth seventh fox"), (2, "the linkererror, (here)")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = {(r.query_id, r.id, r.layer) for r in retrieval.search_response(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, "primary"), (1, 3, "primary"), (2, 2, "primary")}
+    terms = T.fallback_terms(spark.createDataFrame([(2, "the linkererror, (stands)")], "query_id long, text string"), "text")
+    corpus = T.corpus(spark.createDataFrame(docs, "doc_id long, text string, content_type string, source string"))
+    assert [r.id for r in T.trigram_hits(corpus, terms).collect()] == [2]
+
+
 def test_similar_words(spark):
     words = spark.createDataFrame([("handlelinkererror",), ("sessionpoolwrapper",), ("openconnectionpool",)], "word string")
     terms = spark.createDataFrame([("linkererror",), ("userpoolwrapper",), ("connectionpool",)], "term string")
