@@ -95,11 +95,37 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.groupBy("cls", "field", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, cls, id, score, matches_all): BM25 over title and content with statistics of each class and field."""
+def class_words(text: Column) -> Column:
+    """Tokens that count in a text's class: of prose those that are no stop words, of code all."""
+    words = tokens(text)
+    return F.when(F.col("cls") == "prose", F.filter(words, lambda t: ~t.isin(*STOP_WORDS))).otherwise(words)
+
+
+def class_terms(terms: DataFrame) -> DataFrame:
+    """(query_id, cls, term) of (query_id, term): for prose stems without stop words, for code the terms as they are."""
+    prose = terms.where(~F.col("term").isin(*STOP_WORDS)).select("query_id", F.lit("prose").alias("cls"), stemmed("term").alias("term"))
+    return prose.unionByName(terms.select("query_id", F.lit("code").alias("cls"), "term")).distinct()
+
+
+def class_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """As `postings`, of terms (cls, term): words of prose count by their stems; each distinct word is stemmed once, not each token."""
+    fields = [docs.select("id", "cls", F.lit(f).alias("field"), class_words(F.col(f)).alias("words")) for f in WEIGHTS]
+    words = fields[0].unionByName(fields[1]).withColumn("dl", F.size("words")).select("id", "cls", "field", "dl", F.explode("words").alias("word"))
+    distinct = words.select("cls", "word").distinct()
+    forms = distinct.where("cls = 'prose'").withColumn("term", stemmed("word")).unionByName(distinct.where("cls <> 'prose'").withColumn("term", F.col("word")))
+    wanted = written(forms.join(small(terms.select("cls", "term").distinct()), ["cls", "term"], "left_semi"), "word-forms")
+    return words.join(small(wanted), ["cls", "word"]).groupBy("cls", "field", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, stems: bool = False) -> DataFrame:
+    """(query_id, cls, id, score, matches_all): BM25 over title and content with statistics of each class and field.
+
+    stems: prose is searched by stems without stop words, as its queries are; else both classes by their tokens.
+    """
     terms = queries.select("query_id", "term").distinct()
-    found = written(postings(docs, terms), "postings")  # used twice; the texts are scanned once for it
-    lengths = docs.select("cls", *[token_count(F.col(f)).alias(f) for f in WEIGHTS])
+    terms, on = (class_terms(terms), ["cls", "term"]) if stems else (terms, ["term"])
+    found = written(class_postings(docs, terms) if stems else postings(docs, terms), "postings")  # used twice; the texts are scanned once for it
+    lengths = docs.select("cls", *[(F.size(class_words(F.col(f))) if stems else token_count(F.col(f))).alias(f) for f in WEIGHTS])
     sums = lengths.groupBy("cls").agg(F.count(F.lit(1)).alias("n_docs"), *[F.avg(f).alias(f) for f in WEIGHTS])
     stats = sums.select("cls", "n_docs", F.explode(F.create_map(*[x for f in WEIGHTS for x in (F.lit(f), F.col(f))])).alias("field", "mean_dl"))
     df = found.groupBy("cls", "field", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), ["cls", "field"])  # stats: two rows per class
@@ -109,10 +135,11 @@ def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     scored = found.join(df, ["cls", "field", "term"]).withColumn("part", weight * idf * F.col("tf") * (K1 + 1) / norm)
     # By text from here on: what queries of many terms share with a text is summed where it lies.
     by_term = scored.repartition("cls", "id").groupBy("cls", "id", "term").agg(F.sum("part").alias("part"))
-    counts = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    wanted = small(terms.join(counts, "query_id"))
+    per_query = ["query_id", *on[:-1]]
+    counts = terms.groupBy(*per_query).agg(F.count(F.lit(1)).alias("n_terms"))
+    wanted = small(terms.join(counts, per_query))
     return (
-        by_term.join(wanted, "term").groupBy("query_id", "cls", "id", "n_terms")
+        by_term.join(wanted, on).groupBy("query_id", "cls", "id", "n_terms")
         .agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).alias("hit"))
         .select("query_id", "cls", "id", "score", (F.col("hit") == F.col("n_terms")).alias("matches_all"))
     )

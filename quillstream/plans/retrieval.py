@@ -115,7 +115,7 @@ def search_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both layers: ranked hits, those with all terms before those with some, filled up by the fallback."""
     corpus, queries = _corpus(spark, sf_dir), _queries(spark, sf_dir)
-    first = T.fused(T.class_ranks(T.bm25_scores(corpus, T.query_terms(queries, "text", None, 1))))
+    first = T.fused(T.class_ranks(T.bm25_scores(corpus, T.query_terms(queries, "text", None, 1), stems=True)))
     both = T.layered(corpus, first, T.fallback_terms(queries, "text"))
     both = both.withColumns({"request_id": F.expr("query_id div 10"), "qi": F.expr("cast(query_id % 10 as int)")})
     return written(T.banded(both, "request_id"), "response")

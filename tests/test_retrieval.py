@@ -96,6 +96,13 @@ def test_whole_queries_and_fallback_terms(spark, tmp_path):
     assert [r.id for r in T.trigram_hits(corpus, terms).collect()] == [2]
 
 
+def test_prose_is_searched_by_stems_and_code_is_not(spark):
+    docs = spark.createDataFrame([(1, "prose", "", "cached"), (2, "code", "", "cached"), (3, "code", "", "the caching"), (4, "prose", "", "the")], CORPUS)
+    queries = spark.createDataFrame([(1, "the"), (1, "caching"), (2, "the")], "query_id long, term string")
+    got = {(r.query_id, r.id, r.matches_all) for r in T.bm25_scores(docs, queries, stems=True).collect()}
+    assert got == {(1, 1, True), (1, 3, True), (2, 3, True)}
+
+
 def test_similar_words(spark):
     words = spark.createDataFrame([("handlelinkererror",), ("sessionpoolwrapper",), ("openconnectionpool",)], "word string")
     terms = spark.createDataFrame([("linkererror",), ("userpoolwrapper",), ("connectionpool",)], "term string")
