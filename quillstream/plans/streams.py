@@ -16,9 +16,9 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.drained(S.first_deliveries(S.table_stream(spark, table_path(sf_dir, "session_events"))).select("id", "session_id", "type"), "first-deliveries")
+    return S.drained(S.first_deliveries(S.hashed(S.table_stream(spark, table_path(sf_dir, "session_events")))).select("id", "session_id", "type"), "first-deliveries")
 
 
 @query()
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.drained(S.activity(S.table_stream(spark, table_path(sf_dir, "session_events"))), "activity")
+    return S.drained_activity(S.table_stream(spark, table_path(sf_dir, "session_events")))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.operators.delivery import event_hash
 from quillstream.sources.tables import shared_dir
 
 
+FAR = dt.datetime(2999, 1, 1)
+
+
 def table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A parquet table (a folder or one file) as a stream of its files."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -16,6 +22,11 @@ def table_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def hashed(events: DataFrame) -> DataFrame:
+    """Events with the hash of type and data where none is stored."""
+    return events.withColumn("data_hash", F.coalesce("data_hash", event_hash()))
+
+
 def first_deliveries(events: DataFrame, delay: str = "7 days") -> DataFrame:
     """A stream without repeats of (session_id, type, data_hash) that arrive within `delay` of each other.
 
@@ -41,13 +52,17 @@ def daily_counts(events: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there; its rows (complete: those of the last batch).
+    """Run a stream over all that is there; its rows (complete: those of the last batch)."""
+    return _drain(stream, shared_dir(stream.sparkSession, what), mode)
+
+
+def _drain(stream: DataFrame, work: str, mode: str = "append") -> DataFrame:
+    """As `drained`, in the folder `work`; a further run there goes on where the last one ended.
 
     Each batch overwrites its own folder, so that a batch which is run again
     after a failure leaves its rows once.
     """
     spark = stream.sparkSession
-    work = shared_dir(spark, what)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{work}/out/batch={number}")
@@ -60,6 +75,20 @@ def drained(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def drained_activity(events: DataFrame) -> DataFrame:
+    """All spans of activity of a bounded stream: once it has been taken, a row far in the future closes the open ones."""
+    spark = events.sparkSession
+    work = shared_dir(spark, "activity")
+    events = events.select("session_id", "created_at")
+    nothing = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
+    nothing.write.parquet(f"{work}/closing")
+    spans = activity(events.unionByName(spark.readStream.schema(nothing.schema).parquet(f"{work}/closing")))
+    _drain(spans, work)
+    end = spark.range(1).select(*[(F.lit(FAR) if f.name == "created_at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    end.coalesce(1).write.mode("append").parquet(f"{work}/closing")
+    return _drain(spans, work).where(F.col("start") < F.lit(FAR - dt.timedelta(days=1)))
+
+
 def spooled(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
     """Spooled JSON lines {epoch, session_id, type, priority, data} of the current epoch; those of others are left out."""
     lines = spark.readStream.schema("epoch long, session_id long, type string, priority int, data string").json(folder)

@@ -150,3 +150,15 @@ def test_streams(spark, tmp_path):
     folder.mkdir()
     (folder / "a.jsonl").write_text('{"epoch": 2, "session_id": 1, "type": "a", "priority": 1, "data": "{}"}\n{"epoch": 1, "session_id": 1, "type": "b", "priority": 1}\n{"epoch": 2, "type": "c", "priority": 9}\n')
     assert [r.type for r in streams.drained(streams.spooled(spark, str(folder), 2), "t").collect()] == ["a"]
+
+
+def test_streams_take_all_of_a_bounded_table(spark, tmp_path):
+    from quillstream.plans import streams as plans
+
+    rows = [(k, 1 + k % 2, "t", 1, json.dumps({"k": k // 4}), None, AT + dt.timedelta(minutes=k * 20), AT) for k in range(10)]
+    df = spark.createDataFrame(rows, EVENTS)
+    df.repartition(3).write.parquet(str(tmp_path / "session_events.parquet"))
+    want = sessions.activity_spans(df).collect()
+    got = plans.stream_activity(spark, str(tmp_path)).select("session_id", "n_events", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us")).collect()
+    assert want and sorted(got) == sorted(want)
+    assert plans.stream_first_deliveries(spark, str(tmp_path)).count() == 6
