@@ -59,10 +59,9 @@ def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def inorder_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inorder.pages(_cut(spark, sf_dir), 4096)
+    return inorder.all_pages(_cut(spark, sf_dir), 4096).where("snippet is not null").drop("n_chunks")
 
 
 @query()
 def inorder_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = _cut(spark, sf_dir)
-    return inorder.cursors(cut, inorder.pages(cut, 4096))
+    return inorder.all_cursors(inorder.all_pages(_cut(spark, sf_dir), 4096))

@@ -69,3 +69,13 @@ def test_pages_in_order(spark):
     assert inorder.pages(chunks, 50).count() == 0
     again = inorder.pages(chunks, 1000, offset=39)
     assert [r.ordinal for r in again.where("doc_id = 1").collect()] == [39]
+
+
+def test_all_pages(spark):
+    rows = [(1, k, "", "é" * 100, "lab") for k in range(5)] + [(2, 0, "", "y" * 4000, "lab"), (2, 1, "", "z", "lab"), (3, 0, "", "a", "lab"), (3, 1, "t" * 2000, "b" * 10, "lab"), (3, 2, "", "c", "lab")]
+    read = inorder.all_pages(spark.createDataFrame(rows, "doc_id long, ordinal int, title string, content string, label string"), 600)
+    got = sorted((r.doc_id, r.page_no, r.offset, r.ordinal, r.truncated, r.next_offset) for r in read.where("snippet is not null").collect())
+    assert got == [(1, 1, 0, 0, False, 2), (1, 1, 0, 1, False, 2), (1, 2, 2, 2, False, 4), (1, 2, 2, 3, False, 4), (1, 3, 4, 4, False, None), (2, 1, 0, 0, True, 1), (2, 2, 1, 1, False, None), (3, 1, 0, 0, False, 1)]
+    ends = {(r.doc_id, r.page_no): (r.n_hits, r.next_offset) for r in inorder.all_cursors(read).collect()}
+    assert ends[3, 2] == (0, 1) and (3, 3) not in ends and ends[1, 3] == (1, None)
+    assert all(r.used_bytes <= 600 for r in read.collect())
