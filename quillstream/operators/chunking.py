@@ -310,7 +310,12 @@ def detected(docs: DataFrame) -> DataFrame:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, ordinal, title, content, content_type, format): at most 500 chunks of each document.
+    """As `all_chunks`: at most 500 chunks of each document."""
+    return all_chunks(docs).where(F.col("ordinal") < SOURCE_MOST)
+
+
+def all_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, ordinal, title, content, content_type, format): the chunks of each document.
 
     Blank, null and oversized texts (over 1 MiB) give none; a missing
     content_type is prose; an unknown format is text.
@@ -330,12 +335,19 @@ def chunks(docs: DataFrame) -> DataFrame:
     long = every.where(F.octet_length("content") > MOST).select("doc_id", "part", "title", "content_type", F.posexplode(bounded_udf("content")).alias("piece", "content"))
     pieces = short.unionByName(long)
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "piece"))
-    return pieces.withColumn("ordinal", (number - 1).cast("int")).where(F.col("ordinal") < SOURCE_MOST).join(fit.select("doc_id", F.col("effective").alias("format")), "doc_id").select("doc_id", "ordinal", "title", "content", "content_type", "format")
+    return pieces.withColumn("ordinal", (number - 1).cast("int")).join(fit.select("doc_id", F.col("effective").alias("format")), "doc_id").select("doc_id", "ordinal", "title", "content", "content_type", "format")
 
 
-def summaries(cut: DataFrame) -> DataFrame:
-    """Per document: chunks, sections listed (50 at most), whether the list is cut, bytes, and the first preview."""
-    return cut.groupBy("doc_id", "format").agg(
-        F.count(F.lit(1)).alias("sections_total"), F.least(F.count(F.lit(1)), F.lit(SECTIONS)).alias("sections_indexed"), (F.count(F.lit(1)) > SECTIONS).alias("summary_truncated"),
-        F.sum(F.octet_length("content")).alias("n_bytes"), F.min_by(F.substring("content", 1, PREVIEW), "ordinal").alias("preview"),
-    )
+def summaries(docs: DataFrame) -> DataFrame:
+    """Per document: chunks, those indexed (500 at most), whether the list of 50 is cut, bytes of all chunks and of those indexed, and the first preview.
+
+    A text over 1 MiB is refused: it has a row without a format and without chunks.
+    """
+    size = F.octet_length("content")
+    by = all_chunks(docs).groupBy("doc_id", "format").agg(
+        F.count(F.lit(1)).alias("sections_total"), F.least(F.count(F.lit(1)), F.lit(SOURCE_MOST)).alias("sections_indexed"), (F.count(F.lit(1)) > SECTIONS).alias("summary_truncated"),
+        F.sum(size).alias("n_bytes"), F.sum(F.when(F.col("ordinal") < SOURCE_MOST, size)).alias("indexed_bytes"), F.min_by(F.substring("content", 1, PREVIEW), "ordinal").alias("preview"),
+    ).withColumn("refused", F.lit(False))
+    none = {"sections_total": F.lit(0), "sections_indexed": F.lit(0), "summary_truncated": F.lit(False), "n_bytes": F.octet_length("text"), "indexed_bytes": F.lit(0), "refused": F.lit(True)}
+    refused = docs.where(F.octet_length("text") > BODY_MOST).select("doc_id", *[none.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in by.schema if f.name != "doc_id"])
+    return by.unionByName(refused)

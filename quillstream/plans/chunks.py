@@ -43,7 +43,7 @@ def chunks_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunks_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.summaries(C.chunks(_docs(spark, sf_dir)))
+    return C.summaries(_docs(spark, sf_dir))
 
 
 @query()

@@ -79,3 +79,11 @@ def test_all_pages(spark):
     ends = {(r.doc_id, r.page_no): (r.n_hits, r.next_offset) for r in inorder.all_cursors(read).collect()}
     assert ends[3, 2] == (0, 1) and (3, 3) not in ends and ends[1, 3] == (1, None)
     assert all(r.used_bytes <= 600 for r in read.collect())
+
+
+def test_summaries_count_before_the_cap(spark):
+    texts = ["\n\n".join("x" * 2000 for _ in range(505)), "\n\n".join("x" * 2000 for _ in range(60)), "y" * ((1 << 20) + 1)]
+    df = spark.createDataFrame([(k, "lab", text, "text", None) for k, text in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.sections_total, r.sections_indexed, r.summary_truncated, r.n_bytes, r.indexed_bytes, r.refused) for r in C.summaries(df).collect()}
+    assert got == {0: (505, 500, True, 505 * 2000, 500 * 2000, False), 1: (60, 60, True, 120_000, 120_000, False), 2: (0, 0, False, (1 << 20) + 1, 0, True)}
+    assert C.chunks(df).count() == 560
