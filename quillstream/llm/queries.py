@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.conversations import conversation_texts, sound_conversations
 from quillstream.llm.leakage import leaked_items, leaked_pairs
-from quillstream.llm.mixing import mixture, mixture_shares
+from quillstream.llm.mixing import mixture, mixture_shares, token_counts, with_texts
 from quillstream.llm.sentences import sentence_units
 from quillstream.llm.topn import foremost_events
 from quillstream.sources.tables import read_table, table_path, written
@@ -41,9 +41,38 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
 
 
+def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture with its text."""
+    docs = read_table(spark, sf_dir, "documents")
+    return with_texts(mixture(spark, docs, read_table(spark, sf_dir, "mix_targets")), docs)
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mixture, sizes of the documents and targets."""
+    docs, targets = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")
+    sizes = written(token_counts(docs), "token-counts")
+    return written(mixture(spark, docs, targets, sizes=sizes), "mixture"), sizes, targets
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = read_table(spark, sf_dir, "mix_targets")
-    return mixture_shares(written(p7_mixture(spark, sf_dir), "mixture"), targets)
+    mixed, sizes, targets = _mixed(spark, sf_dir)
+    return mixture_shares(mixed, sizes, targets)
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every target source: its share but for what its cap forbids, its repeats, its blocks each in one slot.
+
+    SQL can't count tokens, so its twin states what has to come out.
+    """
+    mixed, sizes, targets = _mixed(spark, sf_dir)
+    report = mixture_shares(mixed, sizes, targets)
+    slots = mixed.groupBy("source", "slot").agg(F.sum("n_tokens").alias("n")).groupBy("source").agg(F.sum((F.col("n") == 2_048).cast("int")).alias("n_full"), F.max("n").alias("most"))
+    joined = report.join(slots, "source", "left").fillna(0, ["n_full", "most"])
+    due = F.least("wanted_tokens", F.col("source_tokens") * F.col("max_repeats"))
+    return joined.select(
+        "source", (F.col("n_tokens") == due).alias("takes_its_due"), (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_allowed"),
+        ((F.col("most") <= 2_048) & (F.col("n_full") >= F.col("n_slots") - 1) & (F.col("n_slots") == F.ceil(F.col("n_tokens") / 2_048))).alias("blocks_placed"),
+    )
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +87,7 @@ def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("mean_chars", F.round(F.col("n_chars") / F.col("n_units"), 3))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_lengths)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p6_found, p6_items, p7_mixture, p7_texts, p7_shares, p7_checks, p8_found, p8_lengths)}
 
 ORACLES: dict[str, str] = {
     "p3_found": """
@@ -66,4 +95,5 @@ ORACLES: dict[str, str] = {
           SELECT session_id, id, row_number() OVER (PARTITION BY session_id
             ORDER BY priority ASC NULLS LAST, created_at DESC NULLS LAST, id ASC NULLS LAST) AS rank_no
           FROM session_events) WHERE rank_no <= 5""",
+    "p7_checks": "SELECT DISTINCT source, true AS takes_its_due, true AS repeats_allowed, true AS blocks_placed FROM mix_targets",
 }
