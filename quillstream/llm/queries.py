@@ -16,11 +16,20 @@ from quillstream.sources.tables import read_table, table_path, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sound_conversations(spark, table_path(sf_dir, "transcript_records")).select("session_uuid", "turn_no", "uuid")
+    return sound_conversations(spark, table_path(sf_dir, "transcript_records"))[0].select("session_uuid", "turn_no", "uuid")
 
 
 def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation_texts(sound_conversations(spark, table_path(sf_dir, "transcript_records")), read_table(spark, sf_dir, "transcript_records"))
+    turns, _ = sound_conversations(spark, table_path(sf_dir, "transcript_records"))
+    return conversation_texts(turns, read_table(spark, sf_dir, "transcript_records"))
+
+
+def p1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the stream by what became of them: how often they closed, with late rows, too large for one task's state, sound."""
+    turns, sessions = sound_conversations(spark, table_path(sf_dir, "transcript_records"))
+    sound = turns.select("session_uuid").distinct().withColumn("sound", F.lit(True))
+    joined = sessions.join(sound, "session_uuid", "left").withColumn("sound", F.coalesce("sound", F.lit(False)))
+    return joined.groupBy("n_closed", (F.col("n_late") > 0).alias("late"), "large", "sound").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n_late").alias("n_late_rows"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +96,7 @@ def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("mean_chars", F.round(F.col("n_chars") / F.col("n_units"), 3))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p6_found, p6_items, p7_mixture, p7_texts, p7_shares, p7_checks, p8_found, p8_lengths)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p1_sessions, p3_found, p6_found, p6_items, p7_mixture, p7_texts, p7_shares, p7_checks, p8_found, p8_lengths)}
 
 ORACLES: dict[str, str] = {
     "p3_found": """
