@@ -1,15 +1,21 @@
 """Log lines of many programs into entries with time, level, component and message.
 
-The method: every line is cut into token classes and parsed with a weighted
-context-free grammar (Earley); the grammar describes headers with their fields,
-lines of other things (listings, tables, histories) and continuations, and the
-parse with the highest score counts.  A right-linear grammar over the lines of
-a stream then joins headers with their continuations; what neither grammar
-takes for an entry comes out as an unparsed span.
-
-Lines with the same token classes have the same parse, so each worker keeps
-the parses of the classes it has seen (a bounded table).  Every stream of every
-row is parsed on its own inside `mapInArrow`; nothing is shuffled.
+Three weighted context-free grammars describe a stream, and the parse with the
+highest score counts:
+
+* `LINES`, over the token classes of a line: headers with their fields, rows of
+  key=value pairs, lines of other things (listings, tables, histories) and
+  continuations;
+* `OBJECTS`, over the tokens of a JSON object, whole or cut off, on one line or
+  over several;
+* `STREAM`, over the kinds of a stream's lines: an entry is a header with its
+  continuations.  It is right-linear, so its best parse is found from left to
+  right with the best score of each open symbol.
+
+The first two are parsed by Earley's method (`earley`), whose shared prefixes
+make a line cost no more than its header, however long it is.  What no rule
+takes for an entry comes out as an unparsed span.  Every stream of every row is
+parsed on its own inside `mapInArrow`; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillstream.operators.earley import Grammar
+from quillstream.operators.earley import Grammar, Prefix
 
 # Spellings of levels.
 LEVELS = {
@@ -68,10 +74,8 @@ LEXER = re.compile(
     |(?P<PUNCT>.)""",
     re.VERBOSE | re.DOTALL,
 )
-MOST_TOKENS = 48  # of a line's head; a longer tail is one token and belongs to the message
-MEMO = 200_000
 
-GRAMMAR = Grammar(
+LINES = Grammar(
     "Line",
     [
         # A line is the head of an entry, a line of something else, or a continuation.
@@ -92,10 +96,11 @@ GRAMMAR = Grammar(
         # time LEVEL pid --- [thread] logger : message
         ("Thread", "[ Any ]", 0), ("Any", "WORD", 0), ("Any", "NUM", 0), ("Any", "Any WORD", 0), ("Any", "Any -", 0), ("Any", "Any WS", 0), ("Any", "Any NUM", 0), ("Any", "FILE", 0), ("Any", "LEVEL", 0),
         ("Head", "Day WS Level WS NUM WS RULE WS Thread WS Component WS :", 12), ("Head", "Day WS Level WS NUM WS RULE WS Thread WS Component :", 12),
-        # key=value pairs, one of them the time
-        ("Pair", "KEY = Value", 0), ("Pair", "KEY =", -1), ("Value", "STR", 0), ("Value", "NUM", 0), ("Value", "WORD", 0), ("Value", "LEVEL", 0), ("Value", "ISO", 0), ("Value", "FILE", 0), ("Value", "HEX", 0), ("Value", "CLOCK", 0),
-        ("TimePair", "TKEY = ISO", 0), ("TimePair", "TKEY = STR", 0), ("TimePair", "TKEY = NUM", 0), ("TimePair", "TKEY = WORD", 0),
-        ("Pairs", "TimePair", 8), ("Pairs", "Pair WS Pairs", 0), ("Head", "Pairs", 0), ("Head", "Pairs WS Pair", 1),
+        # key=value pairs and words, one of the pairs the time
+        ("Pair", "KEY = Value", 0.1), ("Pair", "TKEY = Value", 0.1), ("Pair", "KEY =", -1), ("Value", "SOLID", 0), ("Value", "Value SOLID", 0),
+        ("TimePair", "TKEY = ISO", 8), ("TimePair", "TKEY = STR", 8), ("TimePair", "TKEY = NUM", 8), ("TimePair", "TKEY = WORD", 8),
+        ("Pairs", "Pair", 0), ("Pairs", "Pairs WS Pair", 0), ("Pairs", "Pairs WS Value", 0),
+        ("Timed", "TimePair", 0), ("Timed", "Pairs WS TimePair", 0), ("Timed", "Timed WS Pair", 0), ("Timed", "Timed WS Value", 0), ("Head", "Timed", 0),
         # Jan 2 03:04:05 host program[123]: level: message
         ("Host", "WORD", 0), ("Process", "[ NUM ]", 0),
         ("Head", "MonTime WS Host WS Component Process :", 10), ("Head", "MonTime WS Host WS Component :", 7), ("MonTime", "MON", 0), ("MonTime", "ISO", -1),
@@ -117,65 +122,91 @@ GRAMMAR = Grammar(
         ("Other", "ARROW WS REST", 6), ("Other", "$ WS REST", 6), ("Other", "BLOB", 6), ("Other", "BLOB REST", 5), ("Other", "TOTAL WS NUM", 6),
     ],
 )
-FIELDS = frozenset(["Time", "Day", "GlogTime", "MonTime", "EpochTime", "Level", "Mark", "Component", "Pairs"])
+FIELDS = frozenset(["Time", "Day", "GlogTime", "MonTime", "EpochTime", "Level", "Mark", "Component", "Timed"])
+PAIRS = frozenset(["Pair", "TimePair"])
 WORD_CLASSES = {"ok": "OK", "FAIL": "OK", "commit": "COMMIT", "Author": "AUTHOR", "Date": "DATE", "total": "TOTAL"}
 
 
-def lex(line: str) -> tuple[list[tuple[str, int, int]], tuple[str, ...]]:
-    """Tokens (class, start, end) of a line's head and their classes."""
-    tokens = []
+OBJECTS = Grammar(
+    "Entry",
+    [
+        ("Entry", "Object", 2), ("Entry", "Object REST", 1),
+        ("Entry", "{ Members REST", 0), ("Entry", "{ REST", -1),  # cut off
+        ("Object", "{ Members }", 0), ("Object", "{ }", 0), ("Members", "Member", 0), ("Members", "Members , Member", 0), ("Member", "STR : Value", 0.1),
+        ("Value", "STR", 0), ("Value", "NUM", 0), ("Value", "NAME", 0), ("Value", "Object", 0), ("Value", "List", 0),
+        ("List", "[ ]", 0), ("List", "[ Items ]", 0), ("Items", "Value", 0), ("Items", "Items , Value", 0),
+    ],
+)
+MEMBERS = frozenset(["Member"])
+OBJECT_LEXER = re.compile(r'(?P<STR>"(?:[^"\\]|\\.)*")|(?P<NUM>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<NAME>true|false|null)|(?P<WS>\s+)|(?P<PUNCT>.)', re.DOTALL)
+
+#: Kinds of lines by the open symbol of a stream: the symbol that goes on, and the weight.  A rule reads `symbol -> kind next`.
+STREAM: dict[str, list[tuple[str, str, float]]] = {
+    "Outside": [("head", "Entry", 1), ("other", "Loose", 0), ("more", "Loose", -1), ("blank", "Outside", 0)],
+    "Entry": [("head", "Entry", 1), ("other", "Loose", 0), ("more", "Entry", 0), ("more", "Loose", -1), ("blank", "Entry", 0)],
+    "Loose": [("head", "Entry", 1), ("other", "Loose", 0), ("more", "Loose", -1), ("blank", "Outside", 0)],
+}
+
+
+def line_tokens(line: str) -> Iterator[tuple[str, int, int]]:
+    """Tokens (class, start, end) of a line."""
+    first = True
     for m in LEXER.finditer(line):
         kind, text = m.lastgroup, m.group()
         if kind == "WORD":
             if text.lower() in LEVELS and (text.isupper() or text.islower()):
                 kind = "LEVEL"
-            elif not tokens:
+            elif first:
                 kind = WORD_CLASSES.get(text, kind)
         elif kind == "PUNCT":
             kind = text
         elif kind == "KEY" and text.lower() in TIME_KEYS:
             kind = "TKEY"
-        tokens.append((kind, m.start(), m.end()))
-        if len(tokens) == MOST_TOKENS:
-            if m.end() < len(line):
-                tokens.append(("TAIL", m.end(), len(line)))
-            break
-    return tokens, tuple(t[0] for t in tokens)
-
-
-class LineParser:
-    """Parses of lines by their token classes."""
-
-    def __init__(self) -> None:
-        self.memo: dict[tuple[str, ...], tuple] = {}
-
-    def parse(self, line: str) -> tuple[str, float, dict[str, tuple[int, int]], int]:
-        """Kind (`head`, `other`, `more`), score, character spans of the fields, end of the head."""
-        if not line or line[0] in " \t{}":
-            return "more", 0.0, {}, 0
-        tokens, classes = lex(line)
-        known = self.memo.get(classes)
-        if known is None:
-            known = self._parse(classes)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[classes] = known
-        kind, score, spans, end = known
-        at = {name: (tokens[i][1], tokens[j - 1][2]) for name, (i, j) in spans.items()}
-        return kind, score, at, tokens[end - 1][2] if end else 0
-
-    @staticmethod
-    def _parse(classes: tuple[str, ...]) -> tuple:
-        best = GRAMMAR.parse(classes)
-        if best is None:
-            return "more", 0.0, {}, 0
-        score, tree = best
-        if not tree[3]:
-            return "more", score, {}, 0
-        top = tree[3][0]
-        if GRAMMAR.rules[top[0]][0] == "Other":
-            return "other", score, {}, 0
-        return "head", score, GRAMMAR.spans(top, FIELDS), top[2]
+        yield kind, m.start(), m.end()
+        first = False
+
+
+def object_tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """Tokens of JSON without its blanks."""
+    for m in OBJECT_LEXER.finditer(text):
+        if m.lastgroup != "WS":
+            yield m.group() if m.lastgroup == "PUNCT" else m.lastgroup, m.start(), m.end()
+
+
+def parsed(grammar: Grammar, tokens: Iterator[tuple[str, int, int]]) -> tuple[Prefix, bool, list[tuple[int, int]]]:
+    """The last prefix of a text that a rule waits for, whether the text ends there, and the places of its tokens."""
+    at, places = grammar.begin(), []
+    for kind, start, end in tokens:
+        following = grammar.step(at, kind)
+        if following is None:
+            return at, False, places
+        places.append((start, end))
+        at = following
+    return at, True, places
+
+
+def line_parse(line: str) -> tuple[str, float, dict[str, tuple[int, int]], int, list[tuple[int, int, int, int]]]:
+    """Kind (`head`, `other`, `more`), score, character spans of the fields, end of the head, and spans of keys and values."""
+    if not line or line[0] in " \t{}":
+        return "more", 0.0, {}, 0, []
+    at, ended, places = parsed(LINES, line_tokens(line))
+    known = at.known.get(ended)
+    if known is None:
+        known = at.known[ended] = _line_facts(at.best(ended))
+    kind, score, spans, end, pairs = known
+    fields = {name: (places[i][0], places[j - 1][1]) for name, (i, j) in spans.items()}
+    return kind, score, fields, places[end - 1][1] if end else 0, [(*places[i], places[i + 2][0], places[j - 1][1]) if j > i + 2 else (*places[i], 0, 0) for i, j in pairs]
+
+
+def _line_facts(best: tuple | None) -> tuple:
+    if best is None or not best[1][3]:
+        return "more", best[0] if best else 0.0, {}, 0, []
+    score, tree = best
+    top = tree[3][0]
+    if LINES.rules[top[0]][0] == "Other":
+        return "other", score, {}, 0, []
+    spans = LINES.spans(top, FIELDS)
+    return "head", score, spans, top[2], [sub[1:3] for sub in LINES.subtrees(top, PAIRS)] if "Timed" in spans else []
 
 
 ISO_PARTS = re.compile(r"(\d{4})[-/](\d\d)[-/](\d\d)[T ](\d\d):(\d\d):(\d\d)(?:[.,](\d+))?(Z|[+-]\d\d:?\d\d)?")
@@ -226,10 +257,6 @@ def level_of(value: object) -> str:
     return LEVELS.get(str(value).strip("[]() :").lower(), "")
 
 
-PAIR = re.compile(r'([A-Za-z_@][\w.@-]*)=("(?:[^"\\]|\\.)*"|\S*)')
-MEMBER = re.compile(r'"([^"\\]+)"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?)')
-
-
 def _first(values: dict, keys: tuple[str, ...]) -> object:
     return next((values[k] for k in keys if values.get(k) is not None), None)
 
@@ -243,15 +270,27 @@ def _unquoted(text: str) -> str:
     return text
 
 
-def json_fields(text: str) -> dict | None:
-    """Members of a JSON object that is a log entry; of one that was cut off, those that can be read."""
+def json_fields(text: str) -> tuple[dict, float] | None:
+    """Members of a JSON object that is a log entry and its score; of one that was cut off, those that can be read."""
+    at, ended, places = parsed(OBJECTS, object_tokens(text))
+    known = at.known.get(ended)
+    if known is None:
+        best = at.best(ended)
+        known = at.known[ended] = (best[0], [(sub[1], sub[2]) for sub in OBJECTS.subtrees(best[1], MEMBERS)]) if best else (0.0, [])
+    values: dict = {}
+    for i, j in known[1]:
+        key = text[places[i][0] : places[i][1]]
+        values[_unquoted(key) if "\\" in key else key[1:-1]] = text[places[i + 2][0] : places[j - 1][1]]
+    if all(values.get(k, "null") == "null" for k in TIME_KEYS):
+        return None
+    return {k: _value(values[k]) for k in (*TIME_KEYS, *LEVEL_KEYS, *COMPONENT_KEYS, *MESSAGE_KEYS) if k in values}, known[0]
+
+
+def _value(text: str) -> object:
     try:
-        values = json.loads(text)
+        return json.loads(text, strict=False)
     except (ValueError, RecursionError):
-        values = {}
-        for k, v in MEMBER.findall(text):
-            values.setdefault(k, int(v) if v.isdigit() else _unquoted(v))
-    return values if isinstance(values, dict) and _first(values, TIME_KEYS) is not None else None
+        return text
 
 
 def _fields(values: dict, observed: dt.datetime | None) -> tuple[int | None, str, str, str]:
@@ -259,15 +298,15 @@ def _fields(values: dict, observed: dt.datetime | None) -> tuple[int | None, str
     return time_ms(str(_first(values, TIME_KEYS)), observed), level_of(_first(values, LEVEL_KEYS)), text(_first(values, COMPONENT_KEYS)), text(_first(values, MESSAGE_KEYS))
 
 
-def _head(parser: LineParser, line: str, observed: dt.datetime | None) -> tuple[str, float, tuple | None]:
-    kind, score, at, end = parser.parse(line)
+def _head(line: str, observed: dt.datetime | None) -> tuple[str, float, tuple | None]:
+    kind, score, at, end, pairs = line_parse(line)
     if kind != "head":
         return kind, score, None
     cut = lambda name: line[at[name][0] : at[name][1]] if name in at else ""
-    if "Pairs" in at:
+    if "Timed" in at:
         values: dict = {}
-        for k, v in PAIR.findall(line):
-            values.setdefault(k.lower(), _unquoted(v))
+        for key_start, key_end, start, stop in pairs:
+            values.setdefault(line[key_start:key_end].lower(), _unquoted(line[start:stop]))
         fields = _fields(values, observed)
     else:
         stated = next(cut(n) for n in ("Day", "GlogTime", "MonTime", "EpochTime", "Time") if n in at)
@@ -276,16 +315,56 @@ def _head(parser: LineParser, line: str, observed: dt.datetime | None) -> tuple[
     return ("more", score, None) if fields[0] is None and observed is not None else ("head", score, fields)
 
 
-BARRED = re.compile(r"[\w.-]+ *\|(?: |$)")
+def read_lines(lines: list[str], observed: dt.datetime | None) -> Iterator[tuple[str, int, int, float, tuple | None]]:
+    """(kind, first line, lines, score, fields) of the units of a stream: a JSON object over several lines is one."""
+    n, i = len(lines), 0
+    while i < n:
+        line = lines[i]
+        size, fields, score, kind = 1, None, 0.0, "more" if line.strip() else "blank"
+        if line.startswith("{"):
+            if line.rstrip() == "{":
+                while i + size < n and lines[i + size - 1].rstrip() not in ("}", "},") and (not lines[i + size] or lines[i + size][0] in ' \t}"'):
+                    size += 1
+                while size > 1 and not lines[i + size - 1].strip():
+                    size -= 1
+            found = json_fields("\n".join(lines[i : i + size]))
+            if found:
+                kind, score, fields = "head", found[1], _fields(found[0], observed)
+            else:
+                size = 1
+        elif kind == "more":
+            kind, score, fields = _head(line, observed)
+        yield kind, i, size, score, fields
+        i += size
 
 
-def entries(parser: LineParser, text: str | None, observed: dt.datetime | None) -> Iterator[tuple]:
+def symbols(kinds: list[str]) -> list[str]:
+    """The symbols of the best parse of a stream's lines by `STREAM`, after each line."""
+    best: dict[str, float] = {"Outside": 0.0}
+    steps: list[dict[str, str]] = []
+    for kind in kinds:
+        following: dict[str, float] = {}
+        came: dict[str, str] = {}
+        for symbol, score in best.items():
+            for taken, nxt, weight in STREAM[symbol]:
+                if taken == kind and (nxt not in following or score + weight > following[nxt]):
+                    following[nxt], came[nxt] = score + weight, symbol
+        best = following
+        steps.append(came)
+    at, out = max(best, key=best.get), []
+    for came in reversed(steps):
+        out.append(at)
+        at = came[at]
+    return out[::-1]
+
+
+def entries(text: str | None, observed: dt.datetime | None) -> Iterator[tuple]:
     """(kind, first line, last line, ts_ms, level, component, message, score) of a stream, in order.
 
     kind is `entry`, or `unparsed` for a run of non-blank lines that belong to none.
     """
     lines = [ANSI.sub("", x).rstrip("\r") for x in (text or "").split("\n")]
-    n, i = len(lines), 0
+    units = list(read_lines(lines, observed))
     held: list | None = None  # the entry that is open: first line, last line, fields, score, more lines of its message
     loose: list[int] | None = None  # the unparsed run that is open: first and last line
 
@@ -298,38 +377,20 @@ def entries(parser: LineParser, text: str | None, observed: dt.datetime | None)
             yield "unparsed", loose[0], loose[1], None, "", "", "", 0.0
         held = loose = None
 
-    while i < n:
-        line = lines[i]
-        size, fields, score, kind = 1, None, 0.0, "more"
-        if line.startswith("{"):
-            if line.rstrip() == "{":
-                while i + size < n and lines[i + size - 1].rstrip() not in ("}", "},") and (not lines[i + size] or lines[i + size][0] in ' \t}"'):
-                    size += 1
-                while size > 1 and not lines[i + size - 1].strip():
-                    size -= 1
-            values = json_fields("\n".join(lines[i : i + size]))
-            if values is not None:
-                kind, score, fields = "head", 10.0, _fields(values, observed)
-            else:
-                size = 1
-        elif line.strip():
-            kind, score, fields = _head(parser, line, observed)
-        if kind == "head" and fields is not None:
+    for (kind, i, size, score, fields), symbol in zip(units, symbols([u[0] for u in units]), strict=True):
+        if symbol == "Entry" and kind == "head":
             yield from closed()
             held = [i + 1, i + size, fields, score, []]
-        elif kind == "other":
+        elif symbol == "Entry":
+            held[4].append(lines[i])
+            if kind != "blank":
+                held[1] = i + 1
+        elif symbol == "Loose":
             if held:
                 yield from closed()
             loose = [loose[0] if loose else i + 1, i + 1]
-        elif held:
-            held[4].append(line)
-            if line.strip():
-                held[1] = i + 1
-        elif line.strip():
-            loose = [loose[0] if loose else i + 1, i + 1]
-        elif loose:
+        else:
             yield from closed()
-        i += size
     yield from closed()
 
 
@@ -345,14 +406,13 @@ def parsed_streams(observed: DataFrame, streams: tuple[str, ...] = ("stdout", "s
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = LineParser()
         out = pa.schema([("event_id", pa.int64()), ("stream", pa.string()), ("kind", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("ts_ms", pa.int64()), ("level", pa.string()), ("component", pa.string()), ("message", pa.string()), ("score", pa.float64())])
         for batch in batches:
             rows = []
             times = batch.column("observed_at").to_pylist()
             for stream in streams:
                 for event, at, text in zip(batch.column("event_id").to_pylist(), times, batch.column(stream).to_pylist(), strict=True):
-                    rows.extend((event, stream, *entry) for entry in entries(parser, text, at))
+                    rows.extend((event, stream, *entry) for entry in entries(text, at))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), out.types, strict=True)] if rows else [pa.array([], t) for t in out.types], schema=out)
 
     return observed.select("event_id", "observed_at", *streams).mapInArrow(parse, SCHEMA)

@@ -7,7 +7,6 @@ from quillstream.operators import logentries as L
 from quillstream.operators.earley import Grammar
 
 AT = dt.datetime(2026, 5, 6, 7, 8, 9)
-PARSER = L.LineParser()
 
 
 def ms(*a):
@@ -15,7 +14,7 @@ def ms(*a):
 
 
 def found(text, kind="entry"):
-    return [e[1:] for e in L.entries(PARSER, text, AT) if e[0] == kind]
+    return [e[1:] for e in L.entries(text, AT) if e[0] == kind]
 
 
 def test_earley_prefers_the_higher_weight():
@@ -51,6 +50,27 @@ def test_layouts(line, time, level, component):
     assert [(e[0], e[1], *e[2:5]) for e in found(line)] == [(1, 1, time, level, component)]
 
 
+def test_earley_shares_prefixes_and_takes_lists_of_any_length():
+    g = Grammar("S", [("S", "L END", 0), ("S", "L REST", -1), ("L", "x", 0.5), ("L", "L , SOLID", 0.5)])
+    tokens = ["x"] + [",", "y"] * 3_000
+    assert g.parse([*tokens, "END"])[0] == 0.5 * 3_001
+    assert g.parse([*tokens, "WS"])[0] == 0.5 * 3_001 - 1
+    assert g.parse(["y"]) is None
+    assert g.n_prefixes <= 201
+
+
+@pytest.mark.parametrize("before", [0, 4, 20, 3_000])
+def test_time_after_any_number_of_pairs(before):
+    line = " ".join(f"key{k}=v.{k}" for k in range(before)) + ' time=2026-05-06T01:02:03.456Z some words level=warn n=1 component="a b"' + " x=y" * 500
+    assert [(e[0], e[1], *e[2:5]) for e in found(line.strip())] == [(1, 1, ms(2026, 5, 6, 1, 2, 3) + 456, "warn", "a b")]
+
+
+def test_json_of_any_depth_and_rest():
+    deep = '{"a": ' + "[" * 3_000 + "]" * 3_000 + ', "time": "2026-05-06T01:02:03Z", "level": 40, "logger": "x\\ty"} tail'
+    assert [(e[0], e[1], *e[2:5]) for e in found(deep)] == [(1, 1, ms(2026, 5, 6, 1, 2, 3), "warn", "x\ty")]
+    assert found('{"a": 1, "time": null}') == [] and found("{") == [] and found("{}") == []
+
+
 def test_entries_over_several_lines():
     text = "reading\n01:02:03.456 ERR [a] first\nTraceback (most recent call last):\n  File x\n\nKeyError: 'a'\n\n01:02:04.000 INF [b] second\n"
     assert [(e[0], e[1], e[4]) for e in found(text)] == [(2, 6, "a"), (8, 8, "b")]
