@@ -1,20 +1,23 @@
 """Evaluation passages inside a training corpus, by size-partitioned MinHash containment.
 
-A passage that leaked has at least 11 successive words unchanged (16 unchanged
-ones, or the larger side of 22 with one replaced).  Items and documents are
-cut into windows of one size, seven shingles of five words, so that within a
-partition all sets have the same size and containment of an item's window in a
-document's window is equality.  The MinHash of a window is the smallest hash of
-its shingles; equal windows have equal MinHashes, so the search misses nothing.
-A second partition holds texts whose script has no blanks: its windows are 21
-shingles of ten characters, which is what 30 unchanged characters have.
-
-Each match of a MinHash gives a document, an item and their offset; along that
-offset the words are compared one by one, which decides the case exactly.
-
-The items are a set of queries: they go to the executors in blocks of at most
-`block_chars` characters, each with one pass over the documents.  Documents are
-searched where they lie; only pairs are shuffled.
+Items are partitioned by their size, and each partition has its own window, the
+longest that any leaked passage of such an item must hold unchanged: 16 words
+(12 shingles of five words) for items too short for a passage with a replaced
+word, 11 words (7 shingles; the larger side of 22 with one replaced) for longer
+ones, and 30 characters (21 shingles of ten) for scripts without blanks.
+Containment of an item's window in a document is what is searched: the document
+is covered by windows of the same size, the MinHash of a window is its smallest
+shingle hash, and a contained window has a MinHash that the document has, too
+(its Jaccard similarity to the window it equals is 1, so that one hash per
+window and one row per band miss nothing).  The MinHashes of the longer windows
+are among those of the shorter ones, so both partitions of words are searched
+with one set per document.
+
+MinHashes of items and documents are tables that are joined: the documents are
+read once, whatever the number of items, and no item passes the driver.  Pairs
+with a common MinHash meet their texts again and are decided exactly: the
+shingles of a passage must be contained in the document one after the other, or
+those around one replaced word.
 """
 
 from __future__ import annotations
@@ -26,9 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.operators.textindex import small
+from quillstream.sources.tables import written
+
 WORD = re.compile(r"[^\W_]+")
 HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 NO_BLANKS = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿฀-๿]")
@@ -49,6 +56,7 @@ class Partition:
         return self.shingle + self.window - 1
 
 
+SHORT = Partition(shingle=5, window=12, run=16, near=0)  # items of 16 to 21 words
 WORDS = Partition(shingle=5, window=7, run=16, near=22)
 CHARACTERS = Partition(shingle=10, window=21, run=30, near=0)
 
@@ -65,8 +73,15 @@ def characters(text: str) -> list[str]:
     return list("".join(words(text)))
 
 
+def word_hashes(units: list[str]) -> np.ndarray:
+    """64-bit hashes of units, the same in every process; never 0."""
+    coded = pa.array(units, pa.string()).dictionary_encode()
+    hashes = np.array([xxhash.xxh3_64_intdigest(u) | 1 for u in coded.dictionary.to_pylist()], np.uint64)
+    return hashes[coded.indices.to_numpy()]
+
+
 def shingle_hashes(ids: np.ndarray, shingle: int) -> np.ndarray:
-    """64-bit hashes of the shingles of a row of unit ids; NEVER where a shingle has a unit 0."""
+    """64-bit hashes of the shingles of a row of unit hashes; NEVER where a shingle has a unit 0."""
     n = len(ids) - shingle + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -85,7 +100,7 @@ def shingle_hashes(ids: np.ndarray, shingle: int) -> np.ndarray:
 
 
 def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest hash of each window that has no NEVER; each position once."""
+    """Positions of the smallest hash (the first of equal ones) of each window that has no NEVER; each position once."""
     n = len(hashes) - window + 1
     if n <= 0:
         return np.empty(0, np.int64)
@@ -93,141 +108,165 @@ def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
     whole = np.flatnonzero(gaps[window:] == gaps[:-window])
     if not len(whole):
         return np.empty(0, np.int64)
-    low = hashes[whole]
-    where = whole.copy()
+    low, where = hashes[:n].copy(), np.zeros(n, np.int64)
     for k in range(1, window):
-        other = hashes[whole + k]
-        less = other < low
-        low = np.where(less, other, low)
-        where = np.where(less, whole + k, where)
-    return np.unique(where)
-
-
-class ItemIndex:
-    """MinHashes of the windows of a block of items."""
-
-    def __init__(self, part: Partition, items: list[tuple[int, list[str]]]):
-        self.part = part
-        self.ids: dict[str, int] = {}
-        self.items = [(item, np.array([self.ids.setdefault(u, len(self.ids) + 1) for u in units], np.uint64)) for item, units in items if len(units) >= part.run]
-        hashes, owners, places = [], [], []
-        for k, (_, ids) in enumerate(self.items):
-            h = shingle_hashes(ids, part.shingle)
-            at = window_minima(h, part.window)
-            hashes.append(h[at])
-            owners.append(np.full(len(at), k))
-            places.append(at)
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes = self.hashes[order]
-        self.owners = np.concatenate(owners)[order] if owners else np.empty(0, np.int64)
-        self.places = np.concatenate(places)[order] if places else np.empty(0, np.int64)
-
-    def unit_ids(self, units: list[str]) -> np.ndarray:
-        get = self.ids.get
-        return np.fromiter((get(u, 0) for u in units), np.uint64, len(units))
-
-    def matches(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        """(number of the document, item_id) of the cases in a batch of documents, each once."""
-        if not len(self.hashes) or not docs:
-            return
-        gap = np.zeros(1, np.uint64)
-        joined = np.concatenate([x for d in docs for x in (d, gap)])
-        starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])])
-        hashes = shingle_hashes(joined, self.part.shingle)
-        at = window_minima(hashes, self.part.window)
-        left = np.searchsorted(self.hashes, hashes[at], "left")
-        right = np.searchsorted(self.hashes, hashes[at], "right")
-        hit = np.flatnonzero(right > left)
-        seen: set[tuple[int, int, int]] = set()
-        found: set[tuple[int, int]] = set()
-        for place, lo, hi in zip(at[hit].tolist(), left[hit].tolist(), right[hit].tolist(), strict=True):
-            doc = int(np.searchsorted(starts, place, "right")) - 1
-            for k in range(lo, hi):
-                owner = int(self.owners[k])
-                offset = place - int(starts[doc]) - int(self.places[k])
-                if (doc, owner) in found or (doc, owner, offset) in seen:
-                    continue
-                seen.add((doc, owner, offset))
-                if self.is_case(docs[doc], self.items[owner][1], offset):
-                    found.add((doc, owner))
-                    yield doc, self.items[owner][0]
-
-    def is_case(self, doc: np.ndarray, item: np.ndarray, offset: int) -> bool:
-        """Whether the document holds a passage of the item where item place p lies at document place p + offset."""
-        first, end = max(0, -offset), min(len(item), len(doc) - offset)
-        same = doc[first + offset : end + offset] == item[first:end]
-        wrong = np.concatenate([[0], np.cumsum(~same)])
-        for length, most in ((self.part.run, 0), (self.part.near, 1)):
-            if length and len(same) >= length and (wrong[length:] - wrong[:-length] <= most).any():
-                return True
+        less = hashes[k : k + n] < low
+        low[less] = hashes[k : k + n][less]
+        where[less] = k
+    return np.unique((where + np.arange(n))[whole])
+
+
+def min_hashes(units: list[str], part: Partition) -> np.ndarray:
+    """The MinHashes of all windows of a text, each once."""
+    h = shingle_hashes(word_hashes(units), part.shingle)
+    return np.unique(h[window_minima(h, part.window)])
+
+
+def partition_of(text: str) -> tuple[Partition, list[str]] | None:
+    """The partition of an item's text and its units; None if it is shorter than a passage."""
+    letters = sum(map(str.isalpha, text))
+    if letters and 2 * len(NO_BLANKS.findall(text)) > letters:
+        part, units = CHARACTERS, characters(text)
+    else:
+        units = words(text)
+        part = WORDS if len(units) >= WORDS.near else SHORT
+    return (part, units) if len(units) >= part.run else None
+
+
+def contained(doc: list[str], item: list[str], part: Partition) -> bool:
+    """Whether a document holds a passage of an item: all its shingles one after the other, or those around one replaced word."""
+    number: dict[str, int] = {}
+    own = np.array([number.setdefault(u, len(number) + 1) for u in item], np.uint64)
+    get = number.get
+    text = np.fromiter((get(u, 0) for u in doc), np.uint64, len(doc))
+    of_doc, of_item = shingle_hashes(text, part.units), shingle_hashes(own, part.units)
+    known = np.flatnonzero(of_doc != NEVER)
+    order = known[np.argsort(of_doc[known], kind="stable")]
+    values = of_doc[order]
+    left, right = np.searchsorted(values, of_item, "left"), np.searchsorted(values, of_item, "right")
+    tried: set[int] = set()
+    for place in np.flatnonzero(right > left).tolist():
+        for offset in (order[left[place] : right[place]] - place).tolist():
+            if offset not in tried:
+                tried.add(offset)
+                if _along(text, own, offset, part):
+                    return True
+    return False
+
+
+def _along(doc: np.ndarray, item: np.ndarray, offset: int, part: Partition) -> bool:
+    """Whether a passage lies where item place p is document place p + offset."""
+    first, end = max(0, -offset), min(len(item), len(doc) - offset)
+    same = doc[first + offset : end + offset] == item[first:end]
+    wrong = np.concatenate([[0], np.cumsum(~same)])
+    if len(same) < part.run:
         return False
-
-
-def split_items(items: list[tuple[int, str | None]]) -> tuple[ItemIndex, ItemIndex]:
-    """Indexes of the items in words and of those in characters (most letters of a script without blanks)."""
-    by_word, by_character = [], []
-    for item, text in items:
-        if not text:
-            continue
-        letters = sum(map(str.isalpha, text))
-        if letters and 2 * len(NO_BLANKS.findall(text)) > letters:
-            by_character.append((item, characters(text)))
-        else:
-            by_word.append((item, words(text)))
-    return ItemIndex(WORDS, by_word), ItemIndex(CHARACTERS, by_character)
-
-
-def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most block_chars characters (or one item)."""
-    block, size = [], 0
-    for row in items.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
-        if block and size + len(row["text"]) > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((row["item_id"], row["text"]))
-        size += len(row["text"])
-    if block:
-        yield block
-
-
-def leaked_pairs(docs: DataFrame, items: DataFrame, block_chars: int = 4_000_000, batch_chars: int = 4_000_000) -> DataFrame:
+    whole = wrong[part.shingle :] == wrong[: -part.shingle]  # shingles of the item that are in the document at their place
+    held = np.concatenate([[0], np.cumsum(whole)])
+    n = part.run - part.shingle + 1
+    if (held[n:] - held[:-n] == n).any():
+        return True
+    if not part.near or len(same) < part.near:
+        return False
+    n = part.near - part.shingle + 1  # one replaced word takes at most `shingle` of a passage's shingles
+    return bool(((held[n:] - held[:-n] >= n - part.shingle) & (wrong[part.near :] - wrong[: -part.near] <= 1)).any())
+
+
+# ---- on Spark ----------------------------------------------------------------------
+
+
+def item_hashes(items: DataFrame) -> DataFrame:
+    """(item_id, dense, hash): the MinHashes of each item in its partition; dense: of scripts without blanks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, dense, hashes = [], [], []
+            for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if found := partition_of(text):
+                    h = min_hashes(found[1], found[0]).view(np.int64)
+                    ids += [item] * len(h)
+                    dense += [found[0] == CHARACTERS] * len(h)
+                    hashes.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dense, pa.bool_()), pa.array(np.concatenate(hashes) if hashes else [], pa.int64())], names=["item_id", "dense", "hash"])
+
+    return items.select("item_id", "text").where("text is not null").mapInArrow(run, "item_id long, dense boolean, hash long")
+
+
+def document_hashes(docs: DataFrame, dense: bool, batch_chars: int = 4_000_000) -> DataFrame:
+    """(doc_id, dense, hash): the MinHashes of each document's windows, each once; dense: also those of characters."""
+    kinds = [(WORDS, words), (CHARACTERS, characters)] if dense else [(WORDS, words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, texts in sliced(b, batch_chars):
+                for part, cut in kinds:
+                    chosen = [(d, cut(t)) for d, t in zip(ids, texts, strict=True) if part == WORDS or NO_BLANKS.search(t)]
+                    # All documents of a slice at once, with a unit 0 between them that no window may hold.
+                    flat = word_hashes([u for _, units in chosen for u in units])
+                    lengths = np.array([len(units) for _, units in chosen], np.int64)
+                    joined = np.zeros(len(flat) + len(lengths), np.uint64)
+                    owner = np.repeat(np.arange(len(lengths)), lengths)
+                    joined[np.arange(len(flat)) + owner] = flat
+                    h = shingle_hashes(joined, part.shingle)
+                    at = window_minima(h, part.window)
+                    of = np.searchsorted(np.cumsum(lengths + 1), at, "right")
+                    hashes = h[at].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in chosen], pa.int64()).take(pa.array(of)), pa.array(np.full(len(of), part == CHARACTERS)), pa.array(hashes)], names=["doc_id", "dense", "hash"])
+
+    return docs.select("doc_id", "text").where("length(trim(text)) > 0").mapInArrow(run, "doc_id long, dense boolean, hash long")
+
+
+def sliced(b: pa.RecordBatch, most_chars: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch in slices of at most most_chars characters (or one text)."""
+    ids, texts, size = [], [], 0
+    for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        if texts and size + len(t) > most_chars:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(d)
+        texts.append(t)
+        size += len(t)
+    if texts:
+        yield ids, texts
+
+
+def candidate_pairs(docs: DataFrame, items: DataFrame, batch_chars: int = 4_000_000) -> DataFrame:
+    """(doc_id, item_id) with a MinHash in common, each pair once."""
+    own = written(item_hashes(items).distinct(), "item-hashes")
+    dense = not own.where("dense").isEmpty()
+    return document_hashes(docs, dense, batch_chars).join(small(own), ["dense", "hash"]).select("doc_id", "item_id").distinct()
+
+
+def leaked_pairs(docs: DataFrame, items: DataFrame, batch_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id) of all documents that hold a passage of an item, each pair once.
 
     Null and blank texts and items shorter than a passage have no cases.
     Repeated documents and items count once by id; a null doc_id comes out as
     null.  Other columns don't matter.
     """
-    spark = docs.sparkSession
-    found = spark.createDataFrame([], "doc_id long, item_id long")
-    for block in item_blocks(items, block_chars):
-        shared = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            by_word, by_character = split_items(shared.value)
-            held: list[tuple[int, str]] = []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                plain = [by_word.unit_ids(words(t)) for _, t in held]
-                pairs = [(held[d][0], item) for d, item in by_word.matches(plain)]
-                dense = [(doc, t) for doc, t in held if NO_BLANKS.search(t)] if by_character.items else []
-                pairs += [(dense[d][0], item) for d, item in by_character.matches([by_character.unit_ids(characters(t)) for _, t in dense])]
-                return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
-
-            for batch in batches:
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    held.append((doc, text))
-                    size += len(text)
-                    if size >= batch_chars:
-                        yield flush()
-                        held, size = [], 0
-            if held:
-                yield flush()
-
-        pairs = docs.select("doc_id", "text").where("length(trim(text)) > 0").mapInArrow(search, "doc_id long, item_id long")
-        found = found.unionByName(pairs)
-    return found.distinct()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, units = None, {}
+        for b in batches:
+            found = []
+            for doc, item, text, passage in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "passage")), strict=True):
+                part, own = partition_of(passage) or (None, None)
+                if part is None:
+                    continue
+                if text is not last and text != last:
+                    last, units = text, {}
+                cut = characters if part == CHARACTERS else words
+                if cut not in units:
+                    units[cut] = cut(text)
+                if contained(units[cut], own, part):
+                    found.append((doc, item))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
+
+    pairs = written(candidate_pairs(docs, items, batch_chars), "leak-candidates")
+    texts = docs.select(F.col("doc_id").alias("__doc"), "text").where("length(trim(text)) > 0")
+    passages = items.select("item_id", F.col("text").alias("passage")).where("passage is not null")
+    met = texts.join(small(pairs), F.col("__doc").eqNullSafe(F.col("doc_id"))).join(small(passages), "item_id").select("doc_id", "item_id", "text", "passage")
+    return met.mapInArrow(decide, "doc_id long, item_id long").distinct()
 
 
 def leaked_items(pairs: DataFrame, items: DataFrame) -> DataFrame:

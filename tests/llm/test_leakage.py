@@ -29,12 +29,18 @@ def cases(doc_words, item_words):
 
 
 def search(docs, items):
-    index = L.ItemIndex(L.WORDS, items)
-    return set(index.matches([index.unit_ids(d) for d in docs]))
+    """By shared MinHashes, then exactly; all pairs that brute force finds must share one."""
+    found = set()
+    for k, own in items:
+        part, units = L.partition_of(" ".join(own)) or (None, None)
+        for d, doc in enumerate(docs):
+            if part and set(L.min_hashes(units, part)) & set(L.min_hashes(doc, L.WORDS)) and L.contained(doc, units, part):
+                found.add((d, k))
+    return found
 
 
 def test_against_brute_force():
-    items = [(k, [RNG.choice(VOCABULARY[:40]) for _ in range(RNG.choice([10, 16, 30, 80]))]) for k in range(25)]
+    items = [(k, [RNG.choice(VOCABULARY[:40]) for _ in range(RNG.choice([10, 16, 19, 21, 22, 30, 80]))]) for k in range(25)]
     docs = []
     for _ in range(120):
         words = noise(RNG.randint(0, 60))
@@ -67,9 +73,22 @@ def test_one_word_replaced(place):
 
 @pytest.mark.parametrize(("n", "hit"), [(29, False), (30, True)])
 def test_characters(n, hit):
-    _, index = L.split_items([(3, HAN)])
-    doc = "x" + HAN[50 : 50 + n] + "。"
-    assert bool(set(index.matches([index.unit_ids(L.characters(doc))]))) == hit
+    part, units = L.partition_of(HAN)
+    doc = L.characters("x" + HAN[50 : 50 + n] + "。")
+    assert part is L.CHARACTERS and L.contained(doc, units, part) == hit
+    assert not hit or set(L.min_hashes(units, part)) & set(L.min_hashes(doc, part))
+
+
+@pytest.mark.parametrize("size", [16, 21, 22, 60, 400])
+def test_longer_windows_have_the_hashes_of_shorter_ones(size):
+    doc = noise(size)
+    assert set(L.min_hashes(doc, L.SHORT)) <= set(L.min_hashes(doc, L.WORDS))
+
+
+def test_repeated_words_stay_linear():
+    item = ["a"] * 200
+    assert not L.contained((["a"] * 15 + ["b"]) * 2_000, [*(["a"] * 15), "c", "d"] * 5, L.WORDS)
+    assert L.contained(["a"] * 100_000, item, L.WORDS)
 
 
 def test_on_spark(spark):
@@ -81,8 +100,7 @@ def test_on_spark(spark):
     want = {(1, 7), (5, 7), (None, 7), (6, 8)}
     pairs = L.leaked_pairs(docs, items)
     assert sorted(map(tuple, pairs.collect()), key=str) == sorted(want, key=str)
-    blocks = L.leaked_pairs(docs, items, block_chars=10, batch_chars=50)
-    assert {tuple(r) for r in blocks.collect()} == want
+    assert {tuple(r) for r in L.leaked_pairs(docs, items, batch_chars=50).collect()} == want
     assert {(r.item_id, r.n_docs) for r in L.leaked_items(pairs, items).collect()} == {(7, 3), (8, 1), (9, 0), (10, 0)}
     assert L.leaked_pairs(docs.where(F.lit(False)), items).count() == 0
     assert L.leaked_pairs(docs, items.where(F.lit(False))).count() == 0
