@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.operators.variants import flat_children, variant_table
+from quillstream.operators.variants import first_copies, variant_tables
 
 # Tools by shape, gates of ratios.
 SHAPES = {"read": ["Read", "PullPage"], "edit": ["Edit", "MultiEdit"], "write": ["Write"], "grep": ["Grep", "Glob"], "list": ["LS", "ListJobs"], "command": ["Bash"], "search": ["Search"]}
@@ -23,13 +23,13 @@ def calls(records: DataFrame) -> DataFrame:
 
     The order is that of arrival (record_id, place in the message).
     """
-    once = records.where("uuid is not null and not coalesce(is_sidechain, false)").groupBy("session_uuid", "uuid").agg(F.min_by(F.struct("record_id", "message"), "record_id").alias("r"))
-    once = once.select("session_uuid", "r.*").withColumn("attachment", F.lit(None).cast("string"))
-    flat = flat_children(once)
+    once = first_copies(records.where("not coalesce(is_sidechain, false)"))
+    tables = variant_tables(once.withColumn("attachment", F.lit(None).cast("string")))
     owner = once.select("record_id", "session_uuid")
-    uses = variant_table(flat, "tool_use").join(owner, "record_id")
-    results = variant_table(flat, "tool_result").join(owner, "record_id").select("session_uuid", "tool_id", "record_id", "pos", "is_error")
-    body = flat.where("child = 'part' and variant = 'text' or child = 'block' and variant = 'tool_result'").groupBy("record_id", "pos").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
+    uses = tables["tool_use"].join(owner, "record_id")
+    results = tables["tool_result"].join(owner, "record_id").select("session_uuid", "tool_id", "record_id", "pos", "is_error")
+    texts = tables["text"].where("child = 'part'").select("record_id", "pos", "text").unionByName(tables["tool_result"].where("child = 'block'").select("record_id", "pos", "text"))
+    body = texts.groupBy("record_id", "pos").agg(F.sum(F.octet_length("text")).alias("n_bytes"))
     served = results.join(body, ["record_id", "pos"], "left")
     last = served.groupBy("session_uuid", "tool_id").agg(F.max_by(F.struct(F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), "is_error"), F.struct("record_id", "pos")).alias("last"))
     joined = uses.join(last, ["session_uuid", "tool_id"], "left")

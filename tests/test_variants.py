@@ -8,7 +8,7 @@ from quillstream.operators import variants as V
 
 def kids(message=None, attachment=None):
     dump = lambda x: x if x is None or isinstance(x, str) else json.dumps(x)
-    return [(k["child"], k["pos"], k["sub_pos"], k["kind"]) for k in V.children(dump(message), dump(attachment))]
+    return [(k["child"], k["pos"], k["sub_pos"], k["kind"]) for k in V.children(dump(message), dump(attachment)) if k["child"] in V.CASES]
 
 
 def test_wrapped_and_unreadable():
@@ -44,6 +44,15 @@ def test_automaton_states():
     assert V.state_of({"name": "s", "addedNames": ["x"]}) == "server"
 
 
+def test_elements_are_routed_by_place_and_state():
+    rows = list(V.elements(json.dumps({"content": [None, 3, {"type": "text", "text": 3}]}), json.dumps({"addedNames": ["a", None, {"b": 1}], "servers": [None, "x", {"name": "s", "addedNames": ["c"]}]})))
+    assert [r and (r["child"], r["parent"], r["pos"], r["sub_pos"], r["variant"]) for r in rows] == [
+        None, ("block", "", 1, -1, "object"), ("block", "", 2, -1, "object"), ("name", "", 0, -1, "name"), None, ("name", "", 2, -1, "object"),
+        None, ("server", "", 1, -1, "server"), ("server", "", 2, -1, "server"), ("name", "server", 2, 0, "name"),
+    ]
+    assert rows[-1]["server"] == "s"
+
+
 def test_tables_keep_links(spark):
     use = {"content": [{"type": "tool_use", "id": "t", "name": "Read", "input": {"path": "é"}}]}
     result = {"content": [{"type": "tool_result", "tool_use_id": "t", "is_error": True, "content": [{"type": "text", "text": "x" * 100_000}]}]}
@@ -56,4 +65,6 @@ def test_tables_keep_links(spark):
     assert tables["text"].select(F.length("text")).collect() == [(100_000,)]
     calls = V.tool_calls(df.dropDuplicates()).collect()
     assert [(c.tool_id, c.result_record_id, c.is_error) for c in calls] == [("t", 2, True)]
-    assert V.flat_children(df.where(F.lit(False))).count() == 0
+    assert V.child_rows(tables).count() == 4 and tables["media"].count() == 0
+    assert V.child_rows(V.variant_tables(df.where(F.lit(False)))).count() == 0
+    assert V.first_copies(df.withColumn("uuid", F.lit("u"))).where("session_uuid is not null").collect() == [("s", 1, json.dumps(use))]
