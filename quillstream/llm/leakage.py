@@ -26,6 +26,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -133,36 +134,51 @@ def partition_of(text: str) -> tuple[Partition, list[str]] | None:
     return (part, units) if len(units) >= part.run else None
 
 
-def contained(doc: list[str], item: list[str], part: Partition) -> bool:
+class Units:
+    """The units of a text with their hashes, and the sorted hashes of its runs of n units."""
+
+    def __init__(self, units: list[str]):
+        self.units = units
+        self.hashes = word_hashes(units)
+        self._runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n not in self._runs:
+            h = shingle_hashes(self.hashes, n)
+            order = np.argsort(h, kind="stable")
+            self._runs[n] = h[order], order
+        return self._runs[n]
+
+
+def contained(doc: Units, item: Units, part: Partition) -> bool:
     """Whether a document holds a passage of an item: all its shingles one after the other, or those around one replaced word."""
-    number: dict[str, int] = {}
-    own = np.array([number.setdefault(u, len(number) + 1) for u in item], np.uint64)
-    get = number.get
-    text = np.fromiter((get(u, 0) for u in doc), np.uint64, len(doc))
-    of_doc, of_item = shingle_hashes(text, part.units), shingle_hashes(own, part.units)
-    known = np.flatnonzero(of_doc != NEVER)
-    order = known[np.argsort(of_doc[known], kind="stable")]
-    values = of_doc[order]
-    left, right = np.searchsorted(values, of_item, "left"), np.searchsorted(values, of_item, "right")
+    values, order = doc.runs(part.units)
+    own, places = item.runs(part.units)
+    left, right = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
     tried: set[int] = set()
-    for place in np.flatnonzero(right > left).tolist():
-        for offset in (order[left[place] : right[place]] - place).tolist():
+    for k in np.flatnonzero(right > left).tolist():
+        for offset in (order[left[k] : right[k]] - places[k]).tolist():
             if offset not in tried:
                 tried.add(offset)
-                if _along(text, own, offset, part):
+                if _along(doc, item, offset, part):
                     return True
     return False
 
 
-def _along(doc: np.ndarray, item: np.ndarray, offset: int, part: Partition) -> bool:
-    """Whether a passage lies where item place p is document place p + offset."""
-    first, end = max(0, -offset), min(len(item), len(doc) - offset)
-    same = doc[first + offset : end + offset] == item[first:end]
-    wrong = np.concatenate([[0], np.cumsum(~same)])
-    if len(same) < part.run:
+def _along(doc: Units, item: Units, offset: int, part: Partition) -> bool:
+    """Whether a passage lies where item place p is document place p + offset: by hashes, and where they say so by the units."""
+    first, end = max(0, -offset), min(len(item.units), len(doc.units) - offset)
+    if end - first < part.run:
+        return False
+    if not _passage(doc.hashes[first + offset : end + offset] == item.hashes[first:end], part):
         return False
-    whole = wrong[part.shingle :] == wrong[: -part.shingle]  # shingles of the item that are in the document at their place
-    held = np.concatenate([[0], np.cumsum(whole)])
+    return _passage(np.array([a == b for a, b in zip(doc.units[first + offset : end + offset], item.units[first:end], strict=True)]), part)
+
+
+def _passage(same: np.ndarray, part: Partition) -> bool:
+    """Whether units that are the same at their places hold all shingles of a passage, or those around one replaced word."""
+    wrong = np.concatenate([[0], np.cumsum(~same)])
+    held = np.concatenate([[0], np.cumsum(wrong[part.shingle :] == wrong[: -part.shingle])])  # shingles that are contained
     n = part.run - part.shingle + 1
     if (held[n:] - held[:-n] == n).any():
         return True
@@ -172,6 +188,12 @@ def _along(doc: np.ndarray, item: np.ndarray, offset: int, part: Partition) -> b
     return bool(((held[n:] - held[:-n] >= n - part.shingle) & (wrong[part.near :] - wrong[: -part.near] <= 1)).any())
 
 
+@lru_cache(maxsize=4_096)
+def passage_of(text: str) -> tuple[Partition, Units] | None:
+    found = partition_of(text)
+    return found and (found[0], Units(found[1]))
+
+
 # ---- on Spark ----------------------------------------------------------------------
 
 
@@ -246,19 +268,19 @@ def leaked_pairs(docs: DataFrame, items: DataFrame, batch_chars: int = 4_000_000
     """
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, units = None, {}
+        last, texts = None, {}
         for b in batches:
             found = []
             for doc, item, text, passage in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "passage")), strict=True):
-                part, own = partition_of(passage) or (None, None)
+                part, own = passage_of(passage) or (None, None)
                 if part is None:
                     continue
-                if text is not last and text != last:
-                    last, units = text, {}
+                if text != last:
+                    last, texts = text, {}
                 cut = characters if part == CHARACTERS else words
-                if cut not in units:
-                    units[cut] = cut(text)
-                if contained(units[cut], own, part):
+                if cut not in texts:
+                    texts[cut] = Units(cut(text))
+                if contained(texts[cut], own, part):
                     found.append((doc, item))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
 

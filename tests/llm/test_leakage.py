@@ -34,7 +34,7 @@ def search(docs, items):
     for k, own in items:
         part, units = L.partition_of(" ".join(own)) or (None, None)
         for d, doc in enumerate(docs):
-            if part and set(L.min_hashes(units, part)) & set(L.min_hashes(doc, L.WORDS)) and L.contained(doc, units, part):
+            if part and set(L.min_hashes(units, part)) & set(L.min_hashes(doc, L.WORDS)) and L.contained(L.Units(doc), L.Units(units), part):
                 found.add((d, k))
     return found
 
@@ -75,7 +75,7 @@ def test_one_word_replaced(place):
 def test_characters(n, hit):
     part, units = L.partition_of(HAN)
     doc = L.characters("x" + HAN[50 : 50 + n] + "。")
-    assert part is L.CHARACTERS and L.contained(doc, units, part) == hit
+    assert part is L.CHARACTERS and L.contained(L.Units(doc), L.Units(units), part) == hit
     assert not hit or set(L.min_hashes(units, part)) & set(L.min_hashes(doc, part))
 
 
@@ -87,8 +87,8 @@ def test_longer_windows_have_the_hashes_of_shorter_ones(size):
 
 def test_repeated_words_stay_linear():
     item = ["a"] * 200
-    assert not L.contained((["a"] * 15 + ["b"]) * 2_000, [*(["a"] * 15), "c", "d"] * 5, L.WORDS)
-    assert L.contained(["a"] * 100_000, item, L.WORDS)
+    assert not L.contained(L.Units((["a"] * 15 + ["b"]) * 2_000), L.Units([*(["a"] * 15), "c", "d"] * 5), L.WORDS)
+    assert L.contained(L.Units(["a"] * 100_000), L.Units(item), L.WORDS)
 
 
 def test_on_spark(spark):
