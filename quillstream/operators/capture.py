@@ -121,13 +121,13 @@ def trace_tail(stderr: Column) -> Column:
 
 
 def events(planned: DataFrame) -> DataFrame:
-    """Events of planned invocations (event_id, exit_code, stderr, ...): the call, an error, a git operation."""
+    """Events of planned invocations (event_id, exit_code, interrupted, trace, ...): the call, an error with its trace, a git operation."""
     failed = F.coalesce(F.col("exit_code") != 0, F.lit(False)) | F.coalesce(F.col("interrupted"), F.lit(False))
     git = F.col("program") == "git"
     summary = F.trim(F.concat_ws(" ", "program", "subcommand"))
     made = F.filter(F.array(
         F.struct(F.lit("tool_invocation").alias("type"), F.lit(3).alias("priority"), F.lit(None).cast("string").alias("trace")),
-        F.when(failed, F.struct(F.lit("error_observed").alias("type"), F.lit(2).alias("priority"), trace_tail(F.coalesce("stderr", F.lit(""))).alias("trace"))),
+        F.when(failed, F.struct(F.lit("error_observed").alias("type"), F.lit(2).alias("priority"), F.col("trace"))),
         F.when(git, F.struct(F.lit("git_operation").alias("type"), F.lit(2).alias("priority"), F.lit(None).cast("string").alias("trace"))),
     ), lambda e: e.isNotNull())
     return planned.select("event_id", "seq", summary.alias("command"), "exit_code", "latest_source", "history_source", F.explode(made).alias("e")).select("*", "e.type", "e.priority", F.col("e.trace").alias("trace_snippet")).drop("e")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.wire import event_wire_size
 from quillstream.operators.delivery import event_hash
+from quillstream.operators.numbering import beyond_first, numbered
 
 #: Limits of the event log.
 READ_DEFAULT, READ_MOST, SNAPSHOT_ROWS, SNAPSHOT_BYTES, RECENT_HASHES, KEPT_EVENTS = 100, 1000, 512, 2048, 5, 1000
@@ -59,18 +60,32 @@ def snapshot_summaries(events: DataFrame, budget_bytes: int = SNAPSHOT_BYTES) ->
     return joined.withColumn("budget_exceeded", F.col("event_count") < F.col("offered")).drop("offered")
 
 
-def without_recent_repeats(events: DataFrame, last: int = RECENT_HASHES) -> DataFrame:
-    """Events whose hash isn't among those of the `last` events before them in their session (by id)."""
-    hashed = events.withColumn("__hash", F.coalesce(F.col("data_hash"), event_hash()))
-    before = Window.partitionBy("session_id").orderBy("id").rowsBetween(-last, -1)
-    return hashed.withColumn("__recent", F.collect_list("__hash").over(before)).where(~F.array_contains("__recent", F.col("__hash"))).drop("__hash", "__recent")
+def without_recent_repeats(events: DataFrame, last: int = RECENT_HASHES, stretch: int = 10_000) -> DataFrame:
+    """Events whose hash isn't among those of the `last` events before them in their session (by id).
+
+    Events are numbered in their session and looked at in stretches, to each of
+    which the last events of the one before are added; the columns that aren't
+    needed for that come back by id, which must be unique.
+    """
+    keys = events.select("session_id", "id", F.coalesce(F.col("data_hash"), event_hash()).alias("__hash"))
+    rows = numbered(keys, ["session_id"], F.coalesce(F.expr("id div 65536"), F.lit(-1)), ["id"], "__no")
+    at = (F.col("__no") - 1) / stretch
+    again = F.when((F.col("__no") - 1) % stretch >= stretch - last, F.array(F.floor(at), F.floor(at) + 1)).otherwise(F.array(F.floor(at)))
+    placed = rows.withColumn("__at", F.explode(again))
+    before = Window.partitionBy("session_id", "__at").orderBy("__no").rowsBetween(-last, -1)
+    fresh = placed.withColumn("__recent", F.collect_list("__hash").over(before)).where((F.floor(at) == F.col("__at")) & ~F.array_contains("__recent", F.col("__hash")))
+    if set(events.columns) <= {"id", "session_id"}:
+        return fresh.select(*events.columns)
+    return events.join(fresh.select("id"), "id", "left_semi")
 
 
 def evicted(events: DataFrame, keep: int = KEPT_EVENTS) -> DataFrame:
-    """Events beyond `keep` per session: the least urgent and oldest go first."""
-    order = Window.partitionBy("session_id").orderBy(F.col("priority").desc_nulls_first(), F.col("created_at").asc_nulls_first(), F.col("id").desc())
-    count = Window.partitionBy("session_id")
-    return events.withColumn("__age", F.row_number().over(order)).withColumn("__all", F.count(F.lit(1)).over(count)).where(F.col("__age") <= F.col("__all") - keep).drop("__age", "__all")
+    """(session_id, id) of the events beyond `keep` per session: the least urgent and oldest go first; id must be unique."""
+    keys = events.select("session_id", "id", "priority", "created_at")
+    hours = F.expr("timestampdiff(HOUR, cast(created_at as timestamp_ntz), timestamp_ntz'2100-01-01 00:00:00')")
+    code = F.struct(F.coalesce(F.col("priority").cast("long"), F.lit(2**40)).alias("p"), F.coalesce(hours, F.lit(2**40)).alias("h"))
+    order = [F.col("priority").asc_nulls_last(), F.col("created_at").desc_nulls_last(), F.col("id")]
+    return beyond_first(keys, ["session_id"], code, order, keep).select("session_id", "id")
 
 
 def event_hashes(events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.operators.numbering import numbered
 from quillstream.operators.variants import first_copies, variant_tables
 
 # Tools by shape, gates of ratios.
@@ -34,8 +35,9 @@ def calls(records: DataFrame) -> DataFrame:
     last = served.groupBy("session_uuid", "tool_id").agg(F.max_by(F.struct(F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), "is_error"), F.struct("record_id", "pos")).alias("last"))
     joined = uses.join(last, ["session_uuid", "tool_id"], "left")
     target = F.coalesce(F.get_json_object("input", "$.file_path"), F.get_json_object("input", "$.path"), F.regexp_replace(F.get_json_object("input", "$.command"), r"\s+", " "), F.lit(""))
-    order = F.row_number().over(Window.partitionBy("session_uuid").orderBy("record_id", "pos"))
-    return joined.select("session_uuid", "record_id", order.alias("call_no"), "name", shape_of(F.col("name")).alias("shape"), target.alias("target"), F.col("last.n_bytes").alias("n_bytes"), F.coalesce("last.is_error", F.lit(False)).alias("is_error"))
+    cut = joined.select("session_uuid", "record_id", "pos", "sub_pos", "name", shape_of(F.col("name")).alias("shape"), target.alias("target"), F.col("last.n_bytes").alias("n_bytes"), F.coalesce("last.is_error", F.lit(False)).alias("is_error"))
+    rows = numbered(cut, ["session_uuid"], F.expr("record_id div 65536"), ["record_id", "pos", "sub_pos"], "call_no")
+    return rows.select("session_uuid", "record_id", F.col("call_no").cast("int").alias("call_no"), "name", "shape", "target", "n_bytes", "is_error")
 
 
 def habits(calls_: DataFrame) -> DataFrame:

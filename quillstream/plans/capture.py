@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.operators import capture
+from quillstream.operators.numbering import numbered
 from quillstream.plans.registry import query
 from quillstream.sources.tables import read_table
 
 
-def _invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = read_table(spark, sf_dir, "observe_events")
-    seq = F.row_number().over(Window.partitionBy("session_uuid").orderBy("observed_at", "event_id"))
-    return seen.withColumns({"seq": seq, "root": F.col("cwd"), "workspace": F.regexp_extract(F.coalesce("cwd", F.lit("")), "([^/]*)/*$", 1)})
+def _invocations(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Commands with their number in the session and further columns (not the streams themselves: they are sorted along)."""
+    seen = read_table(spark, sf_dir, "observe_events").select("event_id", "session_uuid", "observed_at", "command", "cwd", *more)
+    day = F.coalesce(F.expr("timestampdiff(DAY, timestamp_ntz'1970-01-01 00:00:00', cast(observed_at as timestamp_ntz))"), F.lit(-(2**40)))
+    rows = numbered(seen, ["session_uuid"], day, ["observed_at", "event_id"], "seq")
+    return rows.withColumns({"root": F.col("cwd"), "workspace": F.regexp_extract(F.coalesce("cwd", F.lit("")), "([^/]*)/*$", 1)})
 
 
 _SEQ = "row_number() OVER (PARTITION BY session_uuid ORDER BY observed_at, event_id)"
@@ -32,7 +34,7 @@ def capture_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def capture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = capture.plans(_invocations(spark, sf_dir))
+    planned = capture.plans(_invocations(spark, sf_dir, F.col("exit_code"), F.col("interrupted"), capture.trace_tail(F.coalesce("stderr", F.lit(""))).alias("trace")))
     return capture.events(planned).select("event_id", "type", "priority", "command", "exit_code", "trace_snippet", "latest_source", "history_source")
 
 

@@ -1,11 +1,12 @@
 import datetime as dt
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillstream.functions.wire import event_wire_size, json_string_size
-from quillstream.operators import capture, eventlog, sessions, transcripts
+from quillstream.operators import capture, eventlog, numbering, sessions, transcripts
 from quillstream.streaming import events as streams
 
 EVENTS = "id long, session_id long, type string, priority int, data string, data_hash binary, created_at timestamp_ntz, received_at timestamp_ntz"
@@ -57,6 +58,28 @@ def test_repeats_and_eviction(spark):
     assert sorted(gone) == [3, 7, 11, 15, 19]
 
 
+def test_numbers_repeats_and_eviction_across_buckets(spark):
+    rows = [(k * 40_000, 1 + k // 30, "t", None if k % 7 == 0 else 1 + k % 3, json.dumps({"k": k % 6}), None, None if k % 5 == 0 else AT + dt.timedelta(minutes=k % 11), AT) for k in range(60)]
+    df = spark.createDataFrame(rows, EVENTS)
+    whole = sorted(r.id for r in eventlog.without_recent_repeats(df).collect())
+    assert sorted(r.id for r in eventlog.without_recent_repeats(df, stretch=7).collect()) == whole
+    want = []
+    for s in (1, 2):
+        recent = []
+        for r in sorted(r for r in rows if r[1] == s):
+            if r[4] not in recent[-5:]:
+                want.append(r[0])
+            recent.append(r[4])
+    assert whole == sorted(want)
+    late = dt.datetime(2100, 1, 1)
+    order = lambda r: (r[3] is None, r[3] or 0, r[6] is None, late - (r[6] or AT), r[0])
+    for keep in (1, 9, 10, 29, 30, 31):
+        gone = [r[0] for s in (1, 2) for r in sorted((r for r in rows if r[1] == s), key=order)[keep:]]
+        assert sorted(r.id for r in eventlog.evicted(df, keep).collect()) == sorted(gone)
+    same = numbering.numbered(df.select("id", "session_id").union(df.where("id = 0").select("id", F.lit(None).cast("long"))), ["session_id"], F.expr("id div 65536"), ["id"], "no")
+    assert sorted((r.session_id or 0, r.no) for r in same.collect()) == [(0, 1), *((s, n) for s in (1, 2) for n in range(1, 31))]
+
+
 def test_labels_and_clients(spark):
     s = spark.createDataFrame([(1, "n", "c", AT, 10, None), (2, "n", "d", AT, None, None), (3, "m", "c", AT, 20_000, AT)], "id long, namespace string, client string, last_activity timestamp_ntz, ttl_minutes int, expires_at timestamp_ntz")
     labels = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (2, "a", "w"), (9, None, None)], "session_id long, label_key string, label_value string")
@@ -139,11 +162,13 @@ def test_bytes_of_string_results(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(k, 1, "t", 1, "{}", b"h" if k % 2 else None, AT + dt.timedelta(minutes=k * 20), AT + dt.timedelta(minutes=k * 20)) for k in range(10)]
+    # Ten copies of one message; some have its hash, from the others it follows.
+    digest = hashlib.sha256(b"".join(len(x).to_bytes(8, "big") + x for x in (b"t", b"{}"))).digest()
+    rows = [(k, 1, "t", 1, "{}", digest if k % 2 else None, AT + dt.timedelta(minutes=k * 20), AT + dt.timedelta(minutes=k * 20)) for k in range(10)]
     path = str(tmp_path / "e.parquet")
     spark.createDataFrame(rows, EVENTS).repartition(3).write.parquet(path)
     once = streams.drained(streams.first_deliveries(streams.table_stream(spark, path, 1)).select("id"), "t")
-    assert once.count() == 6
+    assert once.count() == 1
     daily = streams.drained(streams.daily_counts(streams.table_stream(spark, path, 1)), "t", "complete")
     assert [tuple(r) for r in daily.select("type", "day", "n_events").collect()] == [("t", "2026-01-02", 10)]
     folder = tmp_path / "spool"
@@ -159,6 +184,6 @@ def test_streams_take_all_of_a_bounded_table(spark, tmp_path):
     df = spark.createDataFrame(rows, EVENTS)
     df.repartition(3).write.parquet(str(tmp_path / "session_events.parquet"))
     want = sessions.activity_spans(df).collect()
-    got = plans.stream_activity(spark, str(tmp_path)).select("session_id", "n_events", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us")).collect()
+    got = plans.stream_activity(spark, str(tmp_path)).select("session_id", "n_events", "start_us", "end_us").collect()
     assert want and sorted(got) == sorted(want)
     assert plans.stream_first_deliveries(spark, str(tmp_path)).count() == 6
