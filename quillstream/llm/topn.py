@@ -4,9 +4,10 @@ For each group a histogram of a coarse, order-preserving code of the sort keys
 is built with map-side partial counts.  Walking it from the front gives the
 first bucket at which at least N rows have been seen; rows behind that bucket
 can't be among the first N and are filtered out.  The rest is ranked exactly on
-all keys.  Only groups with more than `heavy_factor * n` rows get a threshold,
-so the threshold table stays small beside the input; Spark decides at run time
-whether it is broadcast, and the adaptive skew join splits hot groups.
+all keys.  Every group of N rows or more has a threshold.  The thresholds are a
+table: as long as it is small it is broadcast, so that rows are dropped where
+they are read and only survivors are shuffled; beyond that both sides are
+shuffled by group, which is the partitioning that the rank needs anyway.
 The final rank keeps at most N rows of a group per map task before the shuffle
 (WindowGroupLimit), so that ties inside one bucket don't gather in one task.
 """
@@ -18,6 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.operators.textindex import small
+from quillstream.sources.tables import written
+
 
 @dataclass(frozen=True)
 class SortKey:
@@ -32,7 +36,7 @@ class SortKey:
         return c.asc_nulls_last() if self.ascending else c.desc_nulls_last()
 
 
-def first_n_per_group(df: DataFrame, group: list[str], keys: list[SortKey], n: int, rank_col: str = "rank_no", heavy_factor: int = 4) -> DataFrame:
+def first_n_per_group(df: DataFrame, group: list[str], keys: list[SortKey], n: int, rank_col: str = "rank_no") -> DataFrame:
     """The first n rows of each group by keys (nulls last in each), ranked from 1.
 
     Null group values form a group of their own.  Repeated rows all count.
@@ -52,14 +56,10 @@ def first_n_per_group(df: DataFrame, group: list[str], keys: list[SortKey], n: i
     if codes:
         coded = df.withColumn("__top_code", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(codes)]))
         hist = coded.groupBy(*group, "__top_code").agg(F.count(F.lit(1)).alias("__top_n"))
-        by_group = Window.partitionBy(*group)
-        walk = by_group.orderBy("__top_code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        seen = hist.withColumn("__top_seen", F.sum("__top_n").over(walk)).withColumn("__top_all", F.sum("__top_n").over(by_group))
-        limits = (
-            seen.where((F.col("__top_seen") >= n) & (F.col("__top_all") > heavy_factor * n))
-            .groupBy(*[F.col(g).alias(f"__top_g{i}") for i, g in enumerate(group)])
-            .agg(F.min("__top_code").alias("__top_limit"))
-        )
+        walk = Window.partitionBy(*group).orderBy("__top_code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = hist.withColumn("__top_seen", F.sum("__top_n").over(walk)).where(F.col("__top_seen") >= n)
+        limits = seen.groupBy(*[F.col(g).alias(f"__top_g{i}") for i, g in enumerate(group)]).agg(F.min("__top_code").alias("__top_limit"))
+        limits = small(written(limits, "top-limits"))
         same = [F.col(g).eqNullSafe(F.col(f"__top_g{i}")) for i, g in enumerate(group)]
         kept = coded.join(limits, on=same, how="left").where(F.col("__top_limit").isNull() | (F.col("__top_code") <= F.col("__top_limit")))
         work = kept.drop("__top_code", "__top_limit", *[f"__top_g{i}" for i in range(len(group))])
