@@ -2,22 +2,26 @@
 
 Layout first: blank lines, headings, list items, quoted blocks, table rows and
 fenced code part a text into blocks, with offsets into the text as it stands.
-Inside a block the places where a sentence may end are the gaps after a mark
-(with its closing quotes) and, in scripts that have no marks, blanks between
-two letters of the script.
-
-At every such gap a hidden event, boundary or none, is inserted between the
-token before (an n-gram context: the word with its mark and closers, numbers
-and lone letters with the word before them) and the token after.  The model
-knows how often a context ends a block, how often a token begins a block, and
-how often it stands inside a sentence; all counts come from all documents
-(`fit_model`).  A forward-backward pass over the gaps of a block gives the
+Inside a block a hidden event, boundary or none, is inserted between tokens:
+after every mark that may end a sentence (with its closing quotes), at every
+blank between letters of a script that has no sentence marks and writes words
+without blanks, and in a block that has no mark at all between all its words.
+
+The n-gram before an event (the word with its mark and closers, numbers and
+lone letters with the word before them; without a mark the word) and the token
+after it decide, together with the events beside it.  The model knows how often
+such an n-gram ends a block, which kinds of tokens follow it, how often a token
+begins a block, stands inside a sentence or ends one; all counts come from all
+documents (`fit_model`), and abbreviations are what they show to be such: words
+with a full stop that hardly ever end a block, or after which tokens of a kind
+come more often than boundaries explain.  Rare n-grams lean on all those of
+their shape.  A forward-backward pass over the events of each block gives the
 posterior of each boundary, and those of 0.5 or more part the block.
 
-The texts are read once: that pass writes blocks and gaps as numbers beside the
-counts.  Counts are hashed into arrays of fixed size, so the model that is sent
-to the executors has the same size for any corpus; the gaps are then decided in
-whole batches.
+The texts are read once: that pass writes blocks and events as numbers beside
+the counts.  Counts are sums hashed into arrays of fixed size, so the model is
+the same however the texts lie in tasks and has the same size for any corpus;
+the events are then decided in whole batches.
 """
 
 from __future__ import annotations
@@ -37,23 +41,27 @@ from pyspark.sql import functions as F
 from quillstream.sources.tables import written
 
 BUCKETS = 1 << 18
-#: Count arrays: context seen, context at the end of a block, token at a block's begin, token inside a sentence; classes of the last two.
-SEEN, ENDED, BEGINS, INSIDE, BEGIN_CLASS, INSIDE_CLASS = range(6)
-
-# Abbreviations that don't end a sentence by themselves ...
-NEVER_LAST = frozenset("e.g i.e z.b u.a d.h p.ex p.ej т.е z u v т cf vgl bspw mr mrs ms dr prof st см sr sra mme mm evtl ggf inkl resp approx aprox env ca bzw vs".split())
-# ... those that a figure or a name follows ...
-BEFORE_FIGURES = frozenset("no nr fig sec p pp s art pág págs núm vol ch eq рис стр гл табл abb abs kap bd n° cap tab nos figs ed".split())
-# ... and those that may also be a sentence's last word.
-EITHER = frozenset("etc usw a.m p.m г гг т.д т.п д др inc ltd co corp jr al u.s o.ä u.ä m.e".split())
+#: Count arrays: n-gram seen, n-gram at the end of a block, token at a block's begin, token inside a sentence, word before a full stop,
+#: n-gram with the class of the token after it; and in the last array classes at the begin and inside, shapes of n-grams seen, at the end of a block and with the class of the token after them.
+ARRAYS = 7
+SEEN, ENDED, BEGINS, INSIDE, LAST, FOLLOWED, SMALL = range(ARRAYS)
+BEGIN_CLASS, INSIDE_CLASS, SEEN_SHAPE, ENDED_SHAPE, SHAPE_CLASS = 0, 64, 128, 192, 256
 
 OPENERS = "\"'“„«‘‹([{（「『【《¿¡`"
 CJK_MARKS = "。！？｡．"
-MARKS = ".!?…؟۔।॥" + CJK_MARKS
+MARKS = ".!?…؟۔।॥" + "។៕" + "။" + "།༎" + "።፧" + "։" + CJK_MARKS
 OTHERS = MARKS.replace(".", "")
+#: Letters of scripts that write words without blanks and mark no sentences (Thai, Lao, Khmer, Burmese) ...
+UNMARKED = "\u0e01-\u0e7f\u0e81-\u0eff\u1780-\u17d3\u1000-\u1049"
+# ... and of those that mark them (kana, Han).
+SOLID_SCRIPTS = UNMARKED + "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
 GAP = re.compile(
-    rf"(\.(?![.0-9a-z,;:/_=&%'-])|[{MARKS}]{{2,}}|[{OTHERS}])((?:[\"'”“’)\]»›）」』】》`*_]|[ \u00a0\u202f](?=[»›])[»›])*)|(?<=[\u0e01-\u0e7f])(?:\s+)(?=[\u0e01-\u0e7f])"
+    rf"(\.(?![.0-9a-z,;:/_=&%'-])|[{MARKS}]{{2,}}|[{OTHERS}])((?:[\"'”“’)\]»›）」』】》`*_]|[ \u00a0\u202f](?=[»›])[»›])*)|(?<=[{UNMARKED}])(?:\s+)(?=[{UNMARKED}])"
 )
+WORD_GAP = re.compile(r"(?<=\S)\s+(?=\S)")
+UNMARKED_LETTER = re.compile(f"[{UNMARKED}]")
+SOLID_LETTER = re.compile(f"[{SOLID_SCRIPTS}]")
+MARK = re.compile(rf"\.(?![.0-9a-z,;:/_=&%'-])|[{MARKS}]{{2,}}|[{OTHERS}]")
 BLANKS = re.compile(r"\s*")
 SOLID = re.compile(r"\S*")
 HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?=\s|$)")
@@ -145,7 +153,7 @@ def token_class(token: str) -> int:
     return 2 if first.islower() else 5
 
 
-CHUNK = re.compile(rf"[{re.escape(OPENERS)}]*(?:([\u0e01-\u0e7f]{{1,4}})|([\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff].?)|\S{{0,40}})")
+CHUNK = re.compile(rf"[{re.escape(OPENERS)}]*(?:([{UNMARKED}]{{1,4}})|([\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff].?)|[^\s{OTHERS}]*)")
 
 
 def token_at(text: str, at: int) -> str:
@@ -169,9 +177,12 @@ def gaps(block: str) -> Iterator[tuple[int, int, str, str]]:
     """(end of the sentence, begin of the next, context before, token after) of the possible boundaries of a block.
 
     The mark at the block's end comes last, with the block's length as both
-    places and an empty token.
+    places and an empty token.  Without any mark all blanks are such places.
     """
     n = len(block)
+    if not MARK.search(block) and not UNMARKED_LETTER.search(block):
+        yield from word_gaps(block)
+        return
     for m in GAP.finditer(block):
         mark, close, end = m[1], m[2], m.end()
         if mark is None:
@@ -201,6 +212,17 @@ def gaps(block: str) -> Iterator[tuple[int, int, str, str]]:
         yield end, begin, context(block, m.start(), mark, close), token_at(block, begin)
 
 
+def word_gaps(block: str) -> Iterator[tuple[int, int, str, str]]:
+    """The blanks of a block without marks; those between letters of a script without blanks stand for marks."""
+    at = 0
+    for m in WORD_GAP.finditer(block):
+        if SOLID_LETTER.match(block, m.start() - 1) and SOLID_LETTER.match(block, m.end()):
+            yield m.start(), m.end(), "\u0e00" + block[max(0, m.start() - 4) : m.start()], token_at(block, m.end())
+        else:
+            yield m.start(), m.end(), "\u2423" + normal(block[at : m.start()].lstrip(OPENERS)).lower(), token_at(block, m.end())
+        at = m.end()
+
+
 def context(block: str, at: int, mark: str, close: str) -> str:
     """The n-gram before a gap: mark and closers, after a lone full stop with the word."""
     tail = "".join("”" if c in "\"'”“’»›」』" else ")" if c in ")]）】》" else "" for c in close if not c.isspace())[:1]
@@ -209,13 +231,14 @@ def context(block: str, at: int, mark: str, close: str) -> str:
         return kind + tail
     if tail:
         return "." + tail
-    words = block[max(0, at - 48) : at].split()
-    if not words or block[at - 1].isspace():
+    if at and block[at - 1].isspace():
         return "."
-    word = words[-1].lstrip(OPENERS).lower().rpartition("'")[2].rpartition("’")[2]
+    start = word_start(block, at)
+    word = block[start:at].lstrip(OPENERS).lower().rpartition("'")[2].rpartition("’")[2]
     if not word or len(word) > 2 and not word[0].isdigit():
         return word + "."
-    earlier = words[-2].lstrip(OPENERS).lower() if len(words) > 1 else ""
+    before = len(block[:start].rstrip()) if start and block[start - 1].isspace() else 0
+    earlier = block[word_start(block, before) : before].lstrip(OPENERS).lower()
     earlier = earlier[max(map(earlier.rfind, ".!?")) + 1 :] or earlier  # a blank may be missing
     if DIGITS.fullmatch(word):
         return f"{'0' if earlier[:1].isdigit() else earlier} 0."
@@ -224,26 +247,68 @@ def context(block: str, at: int, mark: str, close: str) -> str:
     return f"{word}."
 
 
+def word_start(block: str, end: int) -> int:
+    """Where the word before a place begins: behind a blank, or behind the fourth full stop to the left."""
+    stops = 0
+    at = end
+    while at and not block[at - 1].isspace():
+        if block[at - 1] == ".":
+            stops += 1
+            if stops == 4:
+                break
+        at -= 1
+    return at
+
+
 # ---- the model ---------------------------------------------------------------------
 
-#: Kinds of contexts: what the counts say, or what is known of the word.
-COUNTED, NEVER, FIGURES, MAYBE, BLANK = range(5)
+#: Shapes of n-grams: full stops by the letters of the word (five or more: 4) and whether it holds a full stop itself, then figures, nothing, other marks, blanks, words without a mark, words of scripts without case.
+FIGURE, BARE, OTHER_MARK, BLANK, WORD, CASELESS = range(10, 16)
+
+
+def shape_of(context: str) -> int:
+    if context[0] == "\u0e00":
+        return BLANK
+    if context[0] == "\u2423":
+        return WORD
+    if not context.endswith(".") or len(context) > 1 and context[0] in MARKS:
+        return OTHER_MARK
+    word = context[:-1]
+    if not word:
+        return BARE
+    letter = next(filter(str.isalpha, word), "A")
+    if letter.upper() == letter.lower():
+        return CASELESS
+    if word[0].isdigit() or word.endswith(" 0"):
+        return FIGURE
+    last = word.split()[-1]
+    return min(sum(map(str.isalpha, last)) or 1, 5) * 2 - 2 + ("." in last)
 
 
 @lru_cache(maxsize=200_000)
 def context_code(context: str) -> int:
-    """Kind and bucket of a context in one number."""
-    word = context[:-1] if context.endswith(".") else ""
-    kind = COUNTED
-    if word in NEVER_LAST:
-        kind = NEVER
-    elif word in BEFORE_FIGURES:
-        kind = FIGURES
-    elif word in EITHER or len(word) == 1:
-        kind = MAYBE
-    elif context[0] == "฀":
-        kind = BLANK
-    return kind * BUCKETS + bucket(0, context)
+    """Shape and bucket of an n-gram in one number; a word without a mark has the bucket of the word."""
+    shape = shape_of(context)
+    return shape * BUCKETS + bucket(0, context[1:] if shape == WORD else context)
+
+
+@lru_cache(maxsize=200_000)
+def lowered(token: str) -> int:
+    """Bucket of a token in lower case, if it begins with a capital; else -1."""
+    low = token.lstrip(OPENERS).lower()
+    return bucket(0, low) if token_class(token) == 0 else -1
+
+
+@lru_cache(maxsize=200_000)
+def last_word(context: str) -> int:
+    """Bucket of the word of an n-gram `word.`"""
+    return bucket(0, context[:-1])
+
+
+def followed(contexts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Buckets of n-grams with the class of the token after them."""
+    mixed = (contexts % BUCKETS * 8 + classes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - 18)).astype(np.int64)
 
 
 @lru_cache(maxsize=200_000)
@@ -256,26 +321,29 @@ NEAR = 8 * BUCKETS  # added to a token's code: at most a word behind the gap bef
 
 
 class Digest:
-    """Blocks and gaps of documents as flat lists, and the counts of a task."""
+    """Blocks and events of documents as flat lists, and the counts of a task."""
 
     def __init__(self) -> None:
         self.begins: Counter = Counter()
         self.inside: Counter = Counter()
         self.seen: Counter = Counter()
         self.ended: Counter = Counter()
+        self.last: Counter = Counter()
+        self.followed: Counter = Counter()
         self.clear()
 
     def clear(self) -> None:
         self.docs: list[int | None] = []
         self.lines: list[list[int]] = []  # start and end of each unit that is a line
         self.spans: list[list[int]] = []  # start and end of each block of prose
-        self.gaps: list[list[int]] = []  # stop, begin, context code, token code of each gap
+        self.gaps: list[list[int]] = []  # stop, begin, n-gram code, token code, bucket of the token in lower case of each event
 
     def add(self, doc: int | None, text: str, code: bool) -> None:
         lines: list[int] = []
         spans: list[int] = []
         found: list[int] = []
         contexts: list[int] = []
+        pairs: list[int] = []
         for kind, start, end, block in blocks(text, code):
             if kind == "line":
                 a, b = trimmed(text, start, end)
@@ -293,35 +361,52 @@ class Digest:
             maybe, last = [], -100
             for stop, begin, before, after in gaps(body):
                 known = context_code(before)
-                contexts.append(known % BUCKETS)
                 if not after:
-                    self.ended[known % BUCKETS] += 1
+                    contexts.append(known)
+                    self.ended[known] += 1
                     break
-                # It may begin a sentence: not a token inside one for sure.
-                maybe.append(SOLID.match(body, begin)[0])
-                near = stop - last <= 12 and not any(map(str.isspace, body[last:stop]))
-                found += (start + stop, start + begin, known, token_code(after) + near * NEAR)
+                token = token_code(after)
+                shape = known // BUCKETS
+                if shape != WORD:
+                    contexts.append(known)
+                    pairs.append(known * 8 + token // BUCKETS)
+                    if shape in (4, 6, 8):  # a word of three letters or more with a full stop
+                        self.last[last_word(before)] += 1
+                    if begin > stop:  # it may begin a sentence: not a token inside one for sure
+                        maybe.append(SOLID.match(body, begin)[0])
+                near = shape == WORD or (stop - last <= 12 and not any(map(str.isspace, body[last:stop])))
+                found += (start + stop, start + begin, known, token + near * NEAR, lowered(after))
                 last = begin
             self.inside.subtract(maybe)
         self.seen.update(contexts)
+        self.followed.update(pairs)
         self.docs.append(doc)
         self.lines.append(lines)
         self.spans.append(spans)
         self.gaps.append(found)
 
     def counts(self) -> Counter:
-        """Counts by array and bucket since the last call."""
+        """Counts by array and bucket since the last call; sums of them count, whatever texts they are of."""
         out: Counter = Counter()
-        for kind, tokens in ((SEEN, self.seen), (ENDED, self.ended)):
-            for at, n in tokens.items():
-                out[kind * BUCKETS + at] += n
-        for kind, classes, tokens in ((BEGINS, BEGIN_CLASS, self.begins), (INSIDE, INSIDE_CLASS, self.inside)):
+        for array, shapes, known in ((SEEN, SEEN_SHAPE, self.seen), (ENDED, ENDED_SHAPE, self.ended)):
+            for code, n in known.items():
+                out[array * BUCKETS + code % BUCKETS] += n
+                out[SMALL * BUCKETS + shapes + code // BUCKETS] += n
+        for at, n in self.last.items():
+            out[LAST * BUCKETS + at] += n
+        if self.followed:
+            keys = np.fromiter(self.followed.keys(), np.int64, len(self.followed))
+            small = keys // 8 // BUCKETS * 8 + keys % 8
+            for at, shape, n in zip(followed(keys // 8, keys % 8).tolist(), small.tolist(), self.followed.values(), strict=True):
+                out[FOLLOWED * BUCKETS + at] += n
+                out[SMALL * BUCKETS + SHAPE_CLASS + shape] += n
+        for array, classes, tokens in ((BEGINS, BEGIN_CLASS, self.begins), (INSIDE, INSIDE_CLASS, self.inside)):
             for token, n in tokens.items():
-                if n > 0:
-                    known = token_code("0" if token[0].isdigit() else token_at(token, 0))
-                    out[kind * BUCKETS + known % BUCKETS] += n
-                    out[classes * BUCKETS + known // BUCKETS] += n
-        for tokens in (self.seen, self.ended, self.begins, self.inside):
+                if n:
+                    code = token_code("0" if token[0].isdigit() else token_at(token, 0))
+                    out[array * BUCKETS + code % BUCKETS] += n
+                    out[SMALL * BUCKETS + classes + code // BUCKETS] += n
+        for tokens in (self.seen, self.ended, self.begins, self.inside, self.last, self.followed):
             tokens.clear()
         return out
 
@@ -330,64 +415,96 @@ class Digest:
 SHORT = -0.5
 
 
+#: How many sightings what is known of an n-gram's shape weighs, by itself and with the token after it; the share of unknown tokens; least and most chance of a boundary.
+SHAPE_WEIGHT, CLASS_WEIGHT, UNKNOWN, LEAST, MOST = 6.0, 30.0, 0.002, 0.02, 0.9995
+
+
 class Model:
-    """What the counts say of boundaries; counts: 6 x BUCKETS."""
+    """What the counts say of boundaries; counts: ARRAYS x BUCKETS."""
 
     def __init__(self, counts: np.ndarray):
-        c = counts.reshape(6, BUCKETS).astype(np.float64)
+        c = counts.reshape(ARRAYS, BUCKETS).astype(np.float64)
+        small = lambda k, n: c[SMALL][k : k + n]
+        seen, ended = small(SEEN_SHAPE, 16), small(ENDED_SHAPE, 16)
+        # Sentences per block, from question marks, which always end one, or from all marks, of which most do.
         asked = bucket(0, "?")
-        # Sentences per block, from question marks, which always end one.
-        per_block = min(50.0, (c[SEEN][asked] + 8) / (c[ENDED][asked] + 2))
-        self.supported = np.minimum(c[SEEN], 5 * c[ENDED] * per_block)
-        self.seen = c[SEEN]
-        self.tokens = {k: c[k] / max(1.0, c[k].sum()) for k in (BEGINS, INSIDE)}
-        self.classes = {k: (c[x][:7] + 1) / (c[x][:7].sum() + 7) for k, x in ((BEGINS, BEGIN_CLASS), (INSIDE, INSIDE_CLASS))}
-
-    def odds(self, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Log odds of a boundary at gaps, each by itself: n-gram before it, token after it."""
-        kind, at = contexts // BUCKETS, contexts % BUCKETS
+        per_block = max((c[SEEN][asked] + 8) / (c[ENDED][asked] + 2), 0.8 * (seen.sum() - seen[BLANK]) / (ended.sum() + 2))
         # Fewer block ends than a fifth of what sentence ends would have speak against one.
-        prior, weight = np.where(kind == BLANK, 0.999, 0.98), np.where(kind == BLANK, 1000.0, 6.0)
-        p = (self.supported[at] + prior * weight) / (self.seen[at] + weight)
-        p = np.select([kind == NEVER, kind == FIGURES, kind == MAYBE], [0.0003, 0.5, 0.5], p).clip(0.0003, 0.9995)
-        ends = np.log(p / (1 - p))
-        cls, at = tokens // BUCKETS % 8, tokens % BUCKETS
-        begins = np.log(self.tokens[BEGINS][at] + 0.002 * self.classes[BEGINS][cls]) - np.log(self.tokens[INSIDE][at] + 0.002 * self.classes[INSIDE][cls])
-        value = ends + begins
-        figure = cls == 3
-        # Figures begin sentences after any context but the abbreviations that take them.
-        value = np.where(figure & ~np.isin(kind, (NEVER, FIGURES)), np.maximum(value, ends - 0.5), value)
-        value = np.where((kind == FIGURES) & figure, np.minimum(value, -5.0), value)
-        # Capitals after a last word that may be none (a zone, a unit) speak against an end, figures don't.
-        value = np.where((kind == MAYBE) & (cls == 1), -3.0, value)
-        return np.where((kind == MAYBE) & figure, np.maximum(value, 1.0), value)
-
-    def boundaries(self, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Whether each gap is a boundary; gaps of a block in order, chained where they are near."""
-        odds = self.odds(contexts, tokens)
-        near = np.flatnonzero(tokens >= NEAR)
-        if len(near):
-            for run in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1):
-                first, last = int(run[0]) - 1, int(run[-1])
-                odds[first : last + 1] = posteriors(odds[first : last + 1].tolist())
-        return odds >= 0
-
-
-def posteriors(odds: list[float]) -> list[float]:
-    """Posterior log odds of the boundaries of a chain of near gaps, by forward-backward."""
-    n, short = len(odds), math.exp(SHORT)
-    weights = [math.exp(min(30.0, max(-30.0, o))) for o in odds]
-    forward = [(1.0, w) for w in weights]
-    for i in range(1, n):
-        no, yes = forward[i - 1]
-        a, b = no + yes, (no + yes * short) * weights[i]
-        forward[i] = (a / (a + b), b / (a + b))
-    backward = [(1.0, 1.0)] * n
-    for i in range(n - 2, -1, -1):
-        no, yes = backward[i + 1]
-        a, b = no + yes * weights[i + 1], no + yes * weights[i + 1] * short
-        backward[i] = (a / (a + b), b / (a + b))
-    return [math.log(max(1e-300, f[1] * b[1]) / max(1e-300, f[0] * b[0])) for f, b in zip(forward, backward, strict=True)]
+        self.ends = np.minimum(c[SEEN], 5 * c[ENDED] * per_block)
+        self.seen, self.followed, self.inside = c[SEEN], c[FOLLOWED], c[INSIDE]
+        self.shapes = (np.minimum(seen, 2 * ended * per_block) + 2.0) / (seen + 2.5)
+        self.shapes[BLANK] = 0.999
+        self.tokens = {k: c[k] / max(1.0, c[k].sum()) for k in (BEGINS, INSIDE, LAST)}
+        self.classes = {k: (small(x, 7) + 1) / (small(x, 7).sum() + 7) for k, x in ((BEGINS, BEGIN_CLASS), (INSIDE, INSIDE_CLASS))}
+        after = small(SHAPE_CLASS, 128).reshape(16, 8)[:, :7]
+        self.after = (after + self.classes[BEGINS] * 2) / (after.sum(axis=1, keepdims=True) + 2)
+        # Classes at a sentence's begin after words with and without case: letters of the other kind of script hardly come.
+        begin = self.classes[BEGINS]
+        letters = begin[[0, 1, 2, 5]].sum()
+        cased, caseless = begin.copy(), begin.copy()
+        cased[:3] *= letters / begin[:3].sum()
+        caseless[5] = letters
+        self.begin_after = np.stack([cased, caseless])
+        # Boundaries per word, for words without marks between them.
+        sentences = max(1.0, seen.sum() - seen[BLANK])
+        self.per_word = min(0.2, max(0.02, sentences / max(1.0, c[INSIDE].sum() + sentences)))
+
+    def odds(self, contexts: np.ndarray, tokens: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Log odds of a boundary at events, each by itself: n-gram before it, token after it."""
+        shape, at = contexts // BUCKETS, contexts % BUCKETS
+        cls, token = tokens // BUCKETS % 8, tokens % BUCKETS
+        weight = np.where(shape == BLANK, 1000.0, SHAPE_WEIGHT)
+        p = (self.ends[at] + self.shapes[shape] * weight) / (self.seen[at] + weight)
+        # A word without a mark: how much more often it ends a sentence than it stands inside of one.
+        last = (self.tokens[LAST][at] + 1e-6) / (self.tokens[INSIDE][at] + 1e-6)
+        p = np.where(shape == WORD, self.per_word * last / (1 + self.per_word * last), p).clip(LEAST, MOST)
+        begin, inside = self.classes[BEGINS][cls], self.classes[INSIDE][cls]
+        token_begin, token_inside = self.tokens[BEGINS][token] + UNKNOWN * begin, self.tokens[INSIDE][token] + UNKNOWN * inside
+        plain = np.log(p / (1 - p)) + np.log(token_begin / token_inside)
+        # A word with a full stop: of the tokens of a class that follow it, how many do boundaries explain?
+        sure = self.followed[followed(contexts, cls)]
+        sure = np.maximum(0.0, sure - 2 * np.sqrt(sure))  # less two standard deviations
+        known = (sure + CLASS_WEIGHT * self.after[shape, cls]) / (self.seen[at] + CLASS_WEIGHT)
+        explained = p * self.begin_after[(shape == CASELESS).astype(int), cls]
+        q = (explained / known).clip(LEAST, MOST)
+        # A capital where the word mostly has none inside of sentences speaks for a boundary.
+        small = np.where(low >= 0, self.inside[low], 0.0)
+        capital = np.log((self.inside[token] + small + 1) / (self.inside[token] + 1))
+        stopped = np.log(q / (1 - q)) + np.maximum(np.log(token_begin / token_inside * inside / begin), np.where(small > 0, capital, -np.inf))
+        return np.where(np.isin(shape, (OTHER_MARK, BLANK, WORD)), plain, stopped)
+
+    def boundaries(self, contexts: np.ndarray, tokens: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Whether each event is a boundary, by the posteriors of the chains of events of blocks."""
+        return posteriors(self.odds(contexts, tokens, low), tokens >= NEAR) >= 0
+
+
+def posteriors(odds: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Posterior log odds of boundaries by forward-backward over chains of events.
+
+    near: whether at most a word lies between an event and the one before; only
+    then do the two depend on each other (`SHORT`), so chains begin where it is
+    false.  The n-th events of all chains are taken together.
+    """
+    n = len(odds)
+    if not n:
+        return odds
+    heads = np.flatnonzero(~near) if not near[0] else np.concatenate([[0], np.flatnonzero(~near)])
+    place = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
+    order = np.argsort(place, kind="stable")
+    steps = np.split(order, np.flatnonzero(np.diff(place[order])) + 1)
+    w, short = np.exp(np.clip(odds, -30, 30)), math.exp(SHORT)
+    forward, backward = np.ones((n, 2)), np.ones((n, 2))
+    forward[:, 1] = w
+    for at in steps[1:]:
+        no, yes = forward[at - 1, 0], forward[at - 1, 1]
+        a, b = no + yes, (no + yes * short) * w[at]
+        forward[at, 0], forward[at, 1] = a / (a + b), b / (a + b)
+    for at in steps[:0:-1]:
+        no, yes = backward[at, 0], backward[at, 1] * w[at]
+        a, b = no + yes, no + yes * short
+        backward[at - 1, 0], backward[at - 1, 1] = a / (a + b), b / (a + b)
+    both = np.maximum(forward * backward, 1e-300)
+    return np.log(both[:, 1] / both[:, 0])
 
 
 # ---- on Spark ----------------------------------------------------------------------
@@ -421,9 +538,9 @@ def digested(docs: DataFrame) -> DataFrame:
 
 
 def fit_model(digest: DataFrame) -> np.ndarray:
-    """The model's counts from all rows of counts; at most 6 x 262,144 sums reach the driver."""
+    """The model's counts from all rows of counts; at most 7 x 262,144 sums reach the driver."""
     sums = digest.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(6 * BUCKETS, np.int64)
+    counts = np.zeros(ARRAYS * BUCKETS, np.int64)
     counts[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     return counts
 
@@ -443,10 +560,10 @@ def batch_units(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
     starts.append(lines[:, 0])
     ends.append(lines[:, 1])
     spans, owner = flat("spans", 2)
-    gaps_, gap_owner = flat("gaps", 4)
-    cut = gaps_[model.boundaries(gaps_[:, 2], gaps_[:, 3])] if len(gaps_) else gaps_
-    cut_owner = gap_owner[model.boundaries(gaps_[:, 2], gaps_[:, 3])] if len(gaps_) else gap_owner
-    own = np.concatenate([owner, cut_owner])
+    gaps_, gap_owner = flat("gaps", 5)
+    parts = model.boundaries(gaps_[:, 2], gaps_[:, 3], gaps_[:, 4])
+    cut = gaps_[parts]
+    own = np.concatenate([owner, gap_owner[parts]])
     first, last = np.concatenate([spans[:, 0], cut[:, 1]]), np.concatenate([spans[:, 1], cut[:, 0]])
     where.append(np.sort(own))
     starts.append(first[np.lexsort((first, own))])

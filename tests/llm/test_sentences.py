@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,13 +16,13 @@ def counts():
     digest = S.Digest()
     for n in range(1, 40):
         for t in PLAIN + GERMAN:
-            for part in (t.format(n=n), t.format(n=n).split(". ")[-1]):
+            for part in (t.format(n=n), re.split(r"(?<=\w\w\w[.?!]) ", t.format(n=n))[-1]):  # a text, and its last sentence alone
                 digest.add(n, part, False)
         for t in OTHERS:
             digest.add(n, t, False)
             for part in ("缓存被移动。", "（报告被移动。）", "索引被移动了。", "แคชถูกลบ", "समय था।", "انظر.", "The queue was empty.", "Really?", "Then it went idle."):
                 digest.add(n, part, False)
-    out = np.zeros(6 * S.BUCKETS, np.int64)
+    out = np.zeros(S.ARRAYS * S.BUCKETS, np.int64)
     for k, v in digest.counts().items():
         out[k] = v
     return out
@@ -76,15 +78,65 @@ def test_wrapped_ordinal_and_bare_quote_mark(counts):
     assert parts("> Is it late\n>\n> The queue was empty.", counts) == ["Is it late", "The queue was empty."]
 
 
+@pytest.mark.parametrize(
+    "units",
+    [
+        ["ສຳເນົາຖືກລຶບ", "ແຄດຖືກລຶບ"],  # Lao
+        ["ឯកសារត្រូវបានលុប", "ឃ្លាំងត្រូវបានលុប"],  # Khmer
+        ["ဖိုင်ကိုဖျက်ခဲ့သည်", "မှတ်တမ်းကိုဖျက်ခဲ့သည်"],  # Burmese
+        ["ឯកសារត្រូវបានលុប។", "ឃ្លាំងត្រូវបានលុប។"],
+        ["缓存被移动", "索引被合并"],
+    ],
+)
+def test_scripts_without_marks_or_blanks(units, counts):
+    assert parts(" ".join(units), counts) == units
+
+
+def test_events_between_all_words_of_a_text_without_marks():
+    digest = S.Digest()
+    for n in range(60):
+        digest.add(n, f"The queue was empty. Then the cursor moved {n} rows on. We read the whole file again. The run ended late. Really? We saw that the cursor was slow again.", False)
+    out = np.zeros(S.ARRAYS * S.BUCKETS, np.int64)
+    for k, v in digest.counts().items():
+        out[k] = v
+    assert parts("The queue was empty Then the cursor was slow again We read the whole file again", out) == ["The queue was empty", "Then the cursor was slow again", "We read the whole file again"]
+    assert parts("the queue and the whole file", out) == ["the queue and the whole file"]
+
+
+def test_counts_are_sums_whatever_the_tasks():
+    texts = [t.format(n=n) for n in range(9) for t in PLAIN + GERMAN] + OTHERS
+    whole, parted = S.Digest(), []
+    for k, t in enumerate(texts):
+        whole.add(k, t, False)
+        one = S.Digest()
+        one.add(k, t, False)
+        parted.append(one.counts())
+    total = {}
+    for c in parted:
+        for k, n in c.items():
+            total[k] = total.get(k, 0) + n
+    assert {k: n for k, n in whole.counts().items() if n} == {k: n for k, n in total.items() if n}
+    assert min(total.values()) >= 0
+
+
+def test_long_words_and_tokens_stay_linear(counts):
+    import time
+
+    began = time.perf_counter()
+    assert len(parts("A.B" * 100_000, counts)) >= 1 and len(parts("x" * 500_000 + ". The queue was empty.", counts)) == 2
+    assert len(parts("word " * 100_000, counts)) >= 1
+    assert time.perf_counter() - began < 60
+
+
 def test_forward_backward_is_exact():
-    odds = [0.3, -0.2, 1.0]
+    odds, near = np.array([0.3, -0.2, 1.0, 0.5, -1.0]), np.array([False, True, True, False, True])
     w, short = np.exp(odds), np.exp(S.SHORT)
-    total, yes = 0.0, np.zeros(3)
-    for states in np.ndindex(2, 2, 2):
-        p = np.prod([w[k] for k in range(3) if states[k]]) * np.prod([short for k in range(2) if states[k] and states[k + 1]])
+    total, yes = 0.0, np.zeros(5)
+    for states in np.ndindex(2, 2, 2, 2, 2):
+        p = np.prod([w[k] for k in range(5) if states[k]]) * np.prod([short for k in range(1, 5) if near[k] and states[k - 1] and states[k]])
         total += p
         yes += p * np.array(states)
-    assert np.allclose(S.posteriors(odds), np.log(yes / (total - yes)))
+    assert np.allclose(S.posteriors(odds, near), np.log(yes / (total - yes)))
 
 
 def test_on_spark(spark):
