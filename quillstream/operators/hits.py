@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.operators.textindex import FALLBACK_STOP_WORDS
 
 #: Characters of a snippet, weight of relevance against repetition, rows of a response.
 SNIPPET, RELEVANCE_WEIGHT, MOST_QUERIES, MOST_HITS = 400, 0.7, 10, 50
+#: Bytes of a response by default and at most.
+BUDGET_DEFAULT, BUDGET_CEILING = 4096, 65_536
 SENTENCE_ENDS = frozenset(".!?\n")
 
 
@@ -43,8 +46,8 @@ def snippet(content: str | None, query: str | None, code: bool, most: int = SNIP
     def held(at: int) -> list[tuple[int, int, int]]:
         return [s for s in sites if s[0] >= at and s[2] <= at + most]
 
+    best = _fullest(sites, len(text) - most, most)
     last = len(text) - most
-    best = max((min(max(s[0], 0), last) for s in sites), key=lambda at: (len({s[1] for s in held(at)}), len(held(at)), -at))
     inside = held(best)
     if not inside:
         return _snapped(text, best, best + most, code, None), False
@@ -54,6 +57,38 @@ def snippet(content: str | None, query: str | None, code: bool, most: int = SNIP
     return _snapped(text, start, start + most, code, (min(s[0] for s in inside), max(s[2] for s in inside))), False
 
 
+def _fullest(sites: list[tuple[int, int, int]], last: int, most: int) -> int:
+    """Where a window of `most` characters that begins at a site (at `last` at the latest) holds the most terms, then sites; the first such place.
+
+    Sites are (start, term, end), by start.  They enter the window by their ends
+    and leave it by their starts, each once.
+    """
+    by_end = sorted(range(len(sites)), key=lambda k: sites[k][2])
+    inside, terms = [False] * len(sites), Counter()
+    entered = left = n = 0
+    best, found = (-1, -1), 0
+    for site in sites:
+        at = min(site[0], last)
+        while left < len(sites) and sites[left][0] < at:
+            if inside[left]:
+                inside[left] = False
+                n -= 1
+                terms[sites[left][1]] -= 1
+                if not terms[sites[left][1]]:
+                    del terms[sites[left][1]]
+            left += 1
+        while entered < len(sites) and sites[by_end[entered]][2] <= at + most:
+            k = by_end[entered]
+            if k >= left:
+                inside[k] = True
+                n += 1
+                terms[sites[k][1]] += 1
+            entered += 1
+        if (len(terms), n) > best:
+            best, found = (len(terms), n), at
+    return found
+
+
 def _snapped(text: str, start: int, end: int, code: bool, keep: tuple[int, int] | None) -> str:
     """text[start:end] trimmed to whole lines (code) or sentences, else words; never into what is to be kept."""
     piece = text[start:end]
@@ -185,19 +220,66 @@ def diverse(hits: Hits, budget: int) -> list[int]:
 ALLOCATORS: dict[str, Callable[[Hits, int], list[int]]] = {"rank-round": rank_round, "equal-budget": equal_budget, "score-proportional": score_proportional, "knapsack-greedy": knapsack, "mmr": diverse}
 
 
-def allocate(hits: DataFrame, budget: int, variant: str = "rank-round") -> DataFrame:
+def budget(requested: Column | int | None, ceiling: int = BUDGET_CEILING) -> Column:
+    """The byte budget of a request: what it asks for, the default if nothing (or nothing above 0), never more than the ceiling (0: none)."""
+    asked = F.lit(requested) if requested is None or isinstance(requested, int) else requested
+    given = F.when(asked > 0, asked).otherwise(BUDGET_DEFAULT)
+    return (F.least(given, F.lit(ceiling)) if ceiling > 0 else given).cast("int")
+
+
+def allocator(default: str | None, header: str | None, override: bool) -> str:
+    """The allocator of a request: the header's if it may override and is known, else the namespace's default if known, else by rank."""
+    known = [v for v in ((header if override else None), default) if v in ALLOCATORS]
+    return known[0] if known else "rank-round"
+
+
+def allocate(hits: DataFrame, budget: int | None, variant: str = "rank-round") -> DataFrame:
     """Chosen hits of rows (request_id, qi, rank, id, size, relevance, snippet), with the order in which they were taken.
 
-    Hits beyond ten queries or rank fifty of a request are refused by the
-    contract and left out here.  A budget of 0 chooses nothing.
+    budget: bytes of a response; None: each row has those of its request in
+    budget_bytes.  Hits beyond ten queries or rank fifty of a request are
+    refused by the contract: `refused` gives them, here they are left out.  A
+    budget of 0 chooses nothing.
     """
     choose = ALLOCATORS[variant]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["qi", "rank", "id"], kind="stable").reset_index(drop=True)
-        picked = choose(rows, budget)
+        picked = choose(rows, int(rows["budget_bytes"].iloc[0]))
         out = rows.loc[picked, ["request_id", "qi", "rank", "id", "size"]]
         return out.assign(taken=range(1, len(picked) + 1))
 
-    bounded = hits.where((F.col("qi") < MOST_QUERIES) & (F.col("rank") <= MOST_HITS)).select("request_id", "qi", "rank", "id", "size", "relevance", "snippet")
+    own = hits if budget is None else hits.withColumn("budget_bytes", F.lit(budget))
+    bounded = own.where(_accepted()).select("request_id", "qi", "rank", "id", "size", "relevance", "snippet", "budget_bytes")
     return bounded.groupBy("request_id").applyInPandas(run, "request_id long, qi int, rank int, id long, size int, taken int")
+
+
+def _accepted() -> Column:
+    return (F.col("qi") < MOST_QUERIES) & (F.col("rank") <= MOST_HITS)
+
+
+def refused(hits: DataFrame) -> DataFrame:
+    """Hits that no allocation takes: those beyond ten queries or rank fifty of a request."""
+    return hits.where(~_accepted())
+
+
+def search_meta(hits: DataFrame, chosen: DataFrame, asked: DataFrame, budgets: DataFrame) -> DataFrame:
+    """One row per request of what was delivered: hits by layer, cut snippets without a term, bytes, hits left out and refused, queries without a hit.
+
+    hits: (request_id, query_id, qi, rank, id, size, layer, fallback); chosen:
+    rows of `allocate`; asked: (request_id, query_id) of all queries; budgets:
+    (request_id, budget_bytes).
+    """
+    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("int")
+    told = chosen.select("request_id", "qi", "rank", "id").join(hits, ["request_id", "qi", "rank", "id"])
+    shown = told.groupBy("request_id").agg(
+        count(F.col("layer") == "primary").alias("hits_primary"), count(F.col("layer") == "trigram").alias("hits_trigram"), F.count(F.lit(1)).cast("int").alias("hit_count"),
+        count(F.col("fallback")).alias("snippet_fallbacks"), F.sum("size").cast("int").alias("byte_budget_used"),
+    )
+    found = hits.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("found"), count(~_accepted()).alias("results_refused"))
+    empty = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti").groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("zero_match"))
+    joined = asked.select("request_id").distinct().join(budgets, "request_id", "left").join(found, "request_id", "left").join(shown, "request_id", "left").join(empty, "request_id", "left")
+    names = ["hits_primary", "hits_trigram", "hit_count", "snippet_fallbacks", "byte_budget_used", "found", "results_refused", "zero_match"]
+    filled = joined.fillna(0, names).withColumn("budget_bytes", F.coalesce("budget_bytes", F.lit(BUDGET_DEFAULT)))
+    left = F.col("found") - F.col("results_refused") - F.col("hit_count")
+    return filled.select("request_id", "budget_bytes", *[n for n in names if n != "found"], left.alias("results_omitted"), (left > 0).alias("budget_exceeded"))

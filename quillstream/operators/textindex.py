@@ -19,7 +19,7 @@ from quillstream.sources.tables import written
 WEIGHTS = {"title": 2.0, "content": 1.0}
 K1, B, FUSION, LIMIT, DISTINCTIVE, SIMILAR, MOST_TERMS, LEAST_TERM = 1.2, 0.75, 60, 5, 40, 0.5, 8, 3
 #: Relevance bands by (layer, all terms matched).
-BANDS = {("primary", True): (0.85, 1.0), ("primary", False): (0.6, 0.8), ("trigram", True): (0.1, 0.5), ("trigram", False): (0.1, 0.5)}
+BANDS = {("primary", True): (0.85, 1.0), ("primary", False): (0.6, 0.8), ("trigram", False): (0.1, 0.5)}
 # Words without weight for the fallback.
 FALLBACK_STOP_WORDS = "the an of and or in on at to for with is are was were be been do did does done by as from into than what where when why how who which that this it its".split()
 BROADCAST_ROWS = 1_000_000
@@ -81,10 +81,20 @@ def vocabulary_delta(old: DataFrame, new: DataFrame, group: str, text: str) -> D
     return both.groupBy(group, "word").agg(F.sum("doc_freq").alias("delta")).where("delta <> 0")
 
 
-def query_terms(queries: DataFrame, text: str, n: int | None = 3, least: int = 5) -> DataFrame:
-    """(query_id, term) of rows (query_id, text): the first n (None: all) distinct tokens of at least `least` letters."""
-    long = F.array_distinct(F.filter(tokens(F.col(text)), lambda t: F.length(t) >= least))
-    return queries.select("query_id", F.explode(long if n is None else F.slice(long, 1, n)).alias("term"))
+def maintained(vocab: DataFrame, delta: DataFrame, group: str) -> DataFrame:
+    """A vocabulary (group, word, doc_freq) with the changes (group, word, delta) applied; words without texts are pruned."""
+    both = vocab.unionByName(delta.withColumnRenamed("delta", "doc_freq"))
+    return both.groupBy(group, "word").agg(F.sum("doc_freq").alias("doc_freq")).where("doc_freq > 0")
+
+
+def in_sources(docs: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """Texts of the given sources; all if None."""
+    return docs if sources is None else docs.join(small(sources.select("source").distinct()), "source", "left_semi")
+
+
+def query_terms(queries: DataFrame, text: str, least: int = 1) -> DataFrame:
+    """(query_id, term) of rows (query_id, text): all distinct tokens (of at least `least` letters)."""
+    return queries.select("query_id", F.explode(F.array_distinct(F.filter(tokens(F.col(text)), lambda t: F.length(t) >= least))).alias("term"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -217,7 +227,7 @@ def layered(docs: DataFrame, first: DataFrame, terms: DataFrame, limit: int = LI
     taken = first.groupBy("query_id").agg(F.max("position").alias("taken"))
     open_terms = terms.join(taken.where(F.col("taken") >= limit), "query_id", "left_anti")
     more = trigram_hits(docs, open_terms, first, limit)
-    more = more.join(taken, "query_id", "left").select("query_id", "id", F.col("relevance").alias("score"), F.lit(True).alias("matches_all"), (F.col("position") + F.coalesce("taken", F.lit(0))).alias("position"))
+    more = more.join(taken, "query_id", "left").select("query_id", "id", F.col("relevance").alias("score"), F.lit(False).alias("matches_all"), (F.col("position") + F.coalesce("taken", F.lit(0))).alias("position"))
     return first.withColumn("layer", F.lit("primary")).unionByName(more.withColumn("layer", F.lit("trigram")))
 
 

@@ -1,8 +1,10 @@
 import itertools
 import random
+import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.functions.stem import stem
 from quillstream.operators import hits as H
@@ -31,8 +33,9 @@ def test_equal_budget_shares():
 
 
 def test_score_proportional_moves_what_is_left():
+    # Shares are 75 and 25 bytes: a hit of 60 fits the first, none the second; the 40 that are left go to the next hit of the first query.
     rows = hits((0, 1, 60, 0.75, "a"), (0, 2, 30, 0.5, "b"), (1, 1, 30, 0.25, "c"))
-    assert H.score_proportional(rows, 100) == [0, 1] or H.score_proportional(rows, 100) == [0, 2]
+    assert H.score_proportional(rows, 100) == [0, 1]
     assert H._shares([1.0, 1.0, 1.0], 100) == [34, 33, 33]
 
 
@@ -63,6 +66,42 @@ def test_snippets():
     assert len(H.snippet("İ" * 500 + "x", "i", False)[0]) <= 400
 
 
+def test_fullest_window_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        sites = sorted({(a, rng.randint(0, 3), a + rng.randint(1, 12)) for a in (rng.randint(0, 80) for _ in range(rng.randint(1, 25)))})
+        last, most = rng.randint(0, 90), rng.randint(8, 40)
+        held = lambda at: [s for s in sites if s[0] >= at and s[2] <= at + most]  # noqa: E731, B023
+        places = [min(s[0], last) for s in sites]  # noqa: B023
+        assert H._fullest(sites, last, most) == max(places, key=lambda at: (len({s[1] for s in held(at)}), len(held(at)), -at))  # noqa: B023
+    began = time.perf_counter()
+    H.snippet("alpha beta " * 100_000, "alpha beta", False)
+    assert time.perf_counter() - began < 20
+
+
+def test_budgets_and_allocators_of_requests(spark):
+    cases = [(None, 4096), (0, 4096), (-5, 4096), (100, 100), (70_000, 65_536)]
+    rows = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(cases)], "k int, asked int")
+    assert [r.b for r in rows.select("k", H.budget(F.col("asked")).alias("b")).orderBy("k").collect()] == [b for _, b in cases]
+    assert spark.range(1).select(H.budget(70_000, 0)).first()[0] == 70_000
+    assert H.allocator(None, None, True) == "rank-round" and H.allocator("mmr", "knapsack-greedy", True) == "knapsack-greedy"
+    assert H.allocator("mmr", "knapsack-greedy", False) == "mmr" and H.allocator("mmr", "unknown", True) == "mmr" and H.allocator("unknown", None, False) == "rank-round"
+
+
+def test_meta_of_responses(spark):
+    schema = "request_id long, query_id long, qi int, rank int, id long, size int, relevance double, snippet string, layer string, fallback boolean"
+    rows = [(1, 10, 0, 1, 1, 60, 0.9, "a", "primary", False), (1, 11, 1, 1, 2, 30, 0.4, "b", "trigram", True), (1, 11, 1, 2, 3, 50, 0.3, "c", "trigram", False), (1, 19, 12, 1, 4, 1, 0.9, "d", "primary", False)]
+    hits_ = spark.createDataFrame(rows, schema)
+    asked = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (1, 19), (2, 20)], "request_id long, query_id long")
+    budgets = spark.createDataFrame([(1, 100)], "request_id long, budget_bytes int")
+    chosen = H.allocate(hits_.join(budgets, "request_id"), None)
+    assert sorted((r.id, r.taken) for r in chosen.collect()) == [(1, 1), (2, 2)]
+    got = {r.request_id: r.asDict() for r in H.search_meta(hits_, chosen, asked, budgets).collect()}
+    assert got[1] == {"request_id": 1, "budget_bytes": 100, "hits_primary": 1, "hits_trigram": 1, "hit_count": 2, "snippet_fallbacks": 1, "byte_budget_used": 90, "results_refused": 1, "zero_match": 1, "results_omitted": 1, "budget_exceeded": True}
+    assert got[2]["hit_count"] == 0 and got[2]["zero_match"] == 1 and got[2]["budget_bytes"] == 4096 and not got[2]["budget_exceeded"]
+    assert [r.id for r in H.refused(hits_).collect()] == [4]
+
+
 def test_tiers_weights_and_empty(spark):
     docs = spark.createDataFrame([(1, "prose", "", "alpha beta"), (2, "prose", "alpha", "x"), (3, "code", "", "alpha"), (4, "prose", "", "none here"), (5, "prose", "", "")], CORPUS)
     queries = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, "alpha"), (3, "absent")], "query_id long, term string")
@@ -79,7 +118,7 @@ def test_partial_hits_stay_in_the_response(spark):
     queries = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, "gamma"), (2, "absent")], "query_id long, term string")
     both = T.layered(docs, T.fused(T.class_ranks(T.bm25_scores(docs, queries))), queries)
     got = sorted((r.query_id, r.position, r.id, r.layer, r.matches_all) for r in T.banded(both, "query_id").collect())
-    assert got == [(1, 1, 1, "primary", True), (1, 2, 2, "primary", False), (1, 3, 3, "trigram", True), (2, 1, 4, "primary", False)]
+    assert got == [(1, 1, 1, "primary", True), (1, 2, 2, "primary", False), (1, 3, 3, "trigram", False), (2, 1, 4, "primary", False)]
 
 
 def test_whole_queries_and_fallback_terms(spark, tmp_path):
@@ -111,7 +150,7 @@ def test_similar_words(spark):
 
 
 def test_bands(spark):
-    rows = [(1, "primary", True, 2.0), (1, "primary", True, 1.0), (1, "trigram", True, 0.7)]
+    rows = [(1, "primary", True, 2.0), (1, "primary", True, 1.0), (1, "trigram", False, 0.7)]
     got = T.banded(spark.createDataFrame(rows, "r long, layer string, matches_all boolean, score double"), "r")
     assert sorted(r.relevance for r in got.collect()) == [0.5, 0.85, 1.0]
 
@@ -122,3 +161,5 @@ def test_vocabulary(spark):
     assert prose == {("cach", 1), ("widget", 2), ("gizmo", 1)}
     delta = {(r.word, r.delta) for r in T.vocabulary_delta(texts, texts.where("t like '%gizmo%'"), "g", "t").collect()}
     assert delta == {("caching", -1), ("cached", -1), ("widget", -1)}
+    held = T.maintained(T.vocabulary(texts, "g", "t"), T.vocabulary_delta(texts, texts.where("t like '%gizmo%'"), "g", "t"), "g")
+    assert {(r.word, r.doc_freq) for r in held.collect()} == {("widget", 1), ("gizmo", 1)}
