@@ -11,6 +11,8 @@ from quillstream.operators.numbering import beyond_first, numbered
 
 #: Limits of the event log.
 READ_DEFAULT, READ_MOST, SNAPSHOT_ROWS, SNAPSHOT_BYTES, RECENT_HASHES, KEPT_EVENTS = 100, 1000, 512, 2048, 5, 1000
+#: Events of a batch, characters of a type.
+BATCH_MOST, TYPE_MOST = 100, 64
 
 
 def in_namespace(df: DataFrame, sessions: DataFrame, namespace: str | None) -> DataFrame:
@@ -88,6 +90,29 @@ def evicted(events: DataFrame, keep: int = KEPT_EVENTS) -> DataFrame:
     return beyond_first(keys, ["session_id"], code, order, keep).select("session_id", "id")
 
 
+def checked_batches(events: DataFrame, sessions: DataFrame, most: int = BATCH_MOST) -> DataFrame:
+    """Per batch its events and faults by kind; it is accepted as a whole or not at all.
+
+    Faults: an unknown session, a priority that isn't 1 to 4, a type of no or
+    more than 64 characters, data that isn't JSON (none at all is fine); and a
+    batch of more than `most` events.  A null batch_id is a batch of its own.
+    """
+    fault = lambda good: F.sum((~F.coalesce(good, F.lit(False))).cast("int"))
+    known = sessions.select(F.col("id").alias("session_id")).distinct().withColumn("__known", F.lit(True))
+    by = events.select("batch_id", "session_id", "priority", "type", "data").join(known, "session_id", "left").groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n_events"), fault(F.col("__known")).alias("n_unknown"), fault(F.col("priority").between(1, 4)).alias("n_priority"),
+        fault(F.length(F.coalesce("type", F.lit(""))).between(1, TYPE_MOST)).alias("n_type"),
+        fault((F.coalesce("data", F.lit("")) == "") | F.call_function("try_parse_json", F.col("data")).isNotNull()).alias("n_data"),
+    )
+    return by.withColumn("accepted", (F.col("n_events") <= most) & (F.col("n_unknown") + F.col("n_priority") + F.col("n_type") + F.col("n_data") == 0))
+
+
+def accepted_events(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The events of the batches that are accepted."""
+    taken = checked_batches(events, sessions).where("accepted").select(F.col("batch_id").alias("__batch"))
+    return events.join(taken, F.col("batch_id").eqNullSafe(F.col("__batch")), "left_semi")
+
+
 def event_hashes(events: DataFrame) -> DataFrame:
     """The hash that type and data of each event yield, and whether the stored one differs."""
     return events.select("id", F.lower(F.hex(event_hash())).alias("hash"), (F.col("data_hash").isNotNull() & (F.col("data_hash") != event_hash())).alias("differs"))

@@ -8,20 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, group: list[str], bucket: Column, order: list[str | Column], name: str) -> DataFrame:
-    """Adds the number (from 1) of each row in its group by `order`; bucket: a coarse value in the same order, not null.
+def running(df: DataFrame, group: list[str], bucket: Column, order: list[str | Column], value: str, name: str) -> DataFrame:
+    """Adds the sum of `value` over the rows of a group up to each row, by `order`; bucket: a coarse value in the same order, not null.
 
-    Rows are numbered within buckets, and the sizes of the buckets before are
-    added, so a task sorts a bucket of a group, never a group.  Null group
-    values form a group.
+    Sums run within buckets, and the sums of the buckets before are added, so a
+    task sorts a bucket of a group, never a group.  Null group values form a
+    group; a null value counts as 0.
     """
     work = df.withColumn("__bucket", bucket)
-    sizes = work.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    sums = work.groupBy(*group, "__bucket").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__bucket").alias("__b"), "__base")
+    bases = sums.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__bucket").alias("__b"), "__base")
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g{k}")) for k, g in enumerate(group)], F.col("__bucket") == F.col("__b"))
-    inside = F.row_number().over(Window.partitionBy(*group, "__bucket").orderBy(*order))
-    return work.withColumn("__inside", inside).join(bases, same).withColumn(name, F.col("__base") + F.col("__inside")).drop("__bucket", "__b", "__base", "__inside", *[f"__g{k}" for k in range(len(group))])
+    inside = Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = work.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(bases, same)
+    return summed.withColumn(name, F.col("__base") + F.col("__inside")).drop("__bucket", "__b", "__base", "__inside", *[f"__g{k}" for k in range(len(group))])
+
+
+def numbered(df: DataFrame, group: list[str], bucket: Column, order: list[str | Column], name: str) -> DataFrame:
+    """Adds the number (from 1) of each row in its group by `order`, as `running` takes it."""
+    return running(df.withColumn("__one", F.lit(1)), group, bucket, order, "__one", name).drop("__one")
 
 
 def beyond_first(df: DataFrame, group: list[str], code: Column, order: list[Column], keep: int) -> DataFrame:

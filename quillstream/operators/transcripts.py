@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.operators.numbering import numbered
+from quillstream.operators.numbering import numbered, running
 from quillstream.operators.variants import first_copies, variant_tables
 
 # Tools by shape, gates of ratios.
 SHAPES = {"read": ["Read", "PullPage"], "edit": ["Edit", "MultiEdit"], "write": ["Write"], "grep": ["Grep", "Glob"], "list": ["LS", "ListJobs"], "command": ["Bash"], "search": ["Search"]}
 GATES = [(1.0, "failing"), (0.75, "no_gain"), (0.5, "viable")]
 NEAR_GATE = 0.15
+# Types of records; what a result says of a call that was denied.
+RECORD_TYPES = ["assistant", "user", "attachment", "queue-operation", "last-prompt", "ai-title", "system", "summary"]
+DENIED = r"(?i)\b(permission denied|was denied|was rejected|not allowed)\b"
 
 
 def shape_of(name: Column) -> Column:
@@ -51,6 +54,48 @@ def habits(calls_: DataFrame) -> DataFrame:
     return loops.join(pairs, "session_uuid", "left").fillna(0, ["read_before_edit"])
 
 
+def segments(records: DataFrame) -> DataFrame:
+    """(session_uuid, record_id, segment): how many boundaries (system records) of its session came before a record."""
+    marked = records.select("session_uuid", "record_id", (F.col("record_type").eqNullSafe("system")).cast("long").alias("__edge"))
+    return running(marked, ["session_uuid"], F.expr("record_id div 65536"), ["record_id"], "__edge", "segment").drop("__edge")
+
+
+def rereads(calls_: DataFrame, segments_: DataFrame) -> DataFrame:
+    """Calls with their segment, and whether a read or a command looks at what was looked at in an earlier segment of the session."""
+    placed = calls_.join(segments_.select("record_id", "segment"), "record_id")
+    looks = F.col("shape").isin("read", "command") & (F.col("target") != "")
+    first = placed.where(looks).groupBy("session_uuid", "target").agg(F.min("segment").alias("first_segment"))
+    joined = placed.join(first, ["session_uuid", "target"], "left")
+    return joined.withColumn("reread", looks & F.coalesce(F.col("first_segment") < F.col("segment"), F.lit(False))).drop("first_segment")
+
+
+def state_flags(records: DataFrame) -> DataFrame:
+    """Per session: whether any record is a boundary, comes from a hook, adds tools, or tells of a denial; and the first model named."""
+    said, attached = F.col("message"), F.col("attachment")
+    kind = F.get_json_object("attachment", "$.type")
+    denied = F.coalesce(said.rlike(DENIED), F.lit(False))
+    model = F.get_json_object("message", "$.model")
+    any_ = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    return records.groupBy("session_uuid").agg(
+        any_(F.col("record_type") == "system").alias("any_boundary"), any_(kind == "hook_result").alias("any_hook"), any_(attached.contains('"addedNames"')).alias("any_added"),
+        any_(denied).alias("any_denied"), F.min_by(model, F.when(F.coalesce(model, F.lit("")) != "", F.col("record_id"))).alias("model"),
+    )
+
+
+def unknown_shapes(records: DataFrame) -> DataFrame:
+    """(what, kind, n): record types and kinds of blocks that aren't known; a strict reader refuses a transcript with any."""
+    types = records.where(~F.coalesce("record_type", F.lit("")).isin(*RECORD_TYPES)).groupBy(F.lit("record").alias("what"), F.coalesce("record_type", F.lit("")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    tables = variant_tables(records.select("record_id", "message", F.lit(None).cast("string").alias("attachment")))
+    blocks = tables["object"].where("child in ('block', 'part')").groupBy(F.col("child").alias("what"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    return types.unionByName(blocks)
+
+
+def known_only(records: DataFrame) -> DataFrame:
+    """The records as they are; a run over them fails at a record whose type isn't known."""
+    kind = F.coalesce("record_type", F.lit(""))
+    return records.withColumn("record_type", F.when(kind.isin(*RECORD_TYPES), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("unknown record type: "), kind)).cast("string")))
+
+
 def usage(records: DataFrame) -> DataFrame:
     """Tokens per session; each message id counts once, with the first record that has it."""
     body = records.where("message is not null and try_parse_json(message) is not null").select("session_uuid", "record_id", *[F.get_json_object("message", f"$.{p}").alias(n) for p, n in (("id", "message_id"), ("usage.output_tokens", "output"), ("usage.input_tokens", "input"))])
@@ -77,3 +122,13 @@ def arm_verdicts(ratios: DataFrame, baseline: str = "raw") -> DataFrame:
     """Median ratio of each arm over its tasks, and the verdict."""
     by = ratios.where(F.col("arm") != baseline).groupBy("arm").agg(F.median("ratio").alias("median_ratio"), F.count("ratio").alias("n_tasks"), F.max("needs_more").alias("needs_more"))
     return by.withColumn("verdict", verdict(F.col("median_ratio")))
+
+
+def decomposition(cells: DataFrame, calls_: DataFrame) -> DataFrame:
+    """Per task and arm of cells (session_uuid, task, arm): their number and means of calls, bytes per call and share of errors; 0 where there are no calls."""
+    made = calls_.groupBy("session_uuid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("n_bytes", F.lit(0))).alias("bytes"), F.sum(F.col("is_error").cast("int")).alias("errors"))
+    joined = cells.groupBy("task", "arm", "session_uuid").agg(F.count(F.lit(1)).alias("times")).join(made, "session_uuid", "left").fillna(0, ["n", "bytes", "errors"])
+    per_call = lambda c: F.round(F.avg(F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)), 6)
+    return joined.groupBy("task", "arm").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.round(F.avg("n"), 6).alias("mean_calls"), per_call("bytes").alias("mean_bytes_per_call"), per_call("errors").alias("mean_error_rate")
+    )

@@ -83,7 +83,7 @@ def _spread(value: str, name: str, source: str) -> str:
     return f"SELECT * FROM (SELECT * EXCLUDE (held), unnest(range(len(held))) AS {name}_pos, unnest(held) AS {name} FROM ({held})) WHERE json_type({name}) <> 'NULL'"
 
 
-def _nested(records: str) -> str:
+def nested_sql(records: str) -> str:
     """(record_id, child, pos, sub_pos, kind, b) of blocks, parts and names of rows (record_id, message, attachment, ...)."""
     said = f"SELECT *, json_extract(j, '$.content') AS c FROM ({_read('message', records)}) WHERE json_type(j) = 'OBJECT'"
     blocks = _spread("c", "b", said)
@@ -101,13 +101,13 @@ def _nested(records: str) -> str:
 
 _FIRST = """SELECT record_id, session_uuid, message, NULL::VARCHAR AS attachment FROM transcript_records
   WHERE uuid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_uuid, uuid ORDER BY record_id) = 1"""
-_CALLS = f"SELECT n.*, f.session_uuid FROM ({_nested(_FIRST)}) n JOIN ({_FIRST}) f USING (record_id)"
+_CALLS = f"SELECT n.*, f.session_uuid FROM ({nested_sql(_FIRST)}) n JOIN ({_FIRST}) f USING (record_id)"
 _USES = f"SELECT session_uuid, record_id, pos, b ->> '$.id' AS tool_id, b ->> '$.name' AS name FROM ({_CALLS}) WHERE child IN ('block', 'part') AND kind = 'tool_use'"
 _RESULTS = f"""SELECT session_uuid, pos, b ->> '$.tool_use_id' AS tool_id, coalesce(json_type(b, '$.is_error') = 'BOOLEAN' AND b ->> '$.is_error' = 'true', false) AS is_error
   FROM ({_CALLS}) WHERE child IN ('block', 'part') AND kind = 'tool_result'"""
-_NAMED = _nested("SELECT record_id, NULL::VARCHAR AS message, attachment FROM transcript_records")
+_NAMED = nested_sql("SELECT record_id, NULL::VARCHAR AS message, attachment FROM transcript_records")
 ORACLES: dict[str, str] = {
-    "p5_found": f"SELECT record_id, child, pos, sub_pos, kind FROM ({_nested('SELECT record_id, message, attachment FROM transcript_records')})",
+    "p5_found": f"SELECT record_id, child, pos, sub_pos, kind FROM ({nested_sql('SELECT record_id, message, attachment FROM transcript_records')})",
     "p5_names": f"SELECT coalesce(b ->> '$.name', '') AS server_name, count(*) AS n_names, count(DISTINCT kind) AS n_distinct FROM ({_NAMED}) WHERE child = 'name' AND sub_pos >= 0 GROUP BY 1",
     "p5_tool_calls": f"""SELECT u.name, count(*) AS n_uses, count(r.pos) AS n_results, sum(CASE WHEN r.is_error THEN 1 ELSE 0 END)::BIGINT AS n_errors
       FROM ({_USES}) u LEFT JOIN ({_RESULTS}) r USING (session_uuid, tool_id) GROUP BY 1""",

@@ -64,6 +64,18 @@ def events_evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.evicted(_events(spark, sf_dir)).select("id")
 
 
+_FAULTS = """CASE WHEN s.id IS NULL THEN 1 ELSE 0 END AS unknown_session, CASE WHEN e.priority BETWEEN 1 AND 4 THEN 0 ELSE 1 END AS bad_priority,
+  CASE WHEN length(coalesce(e.type, '')) BETWEEN 1 AND 64 THEN 0 ELSE 1 END AS bad_type, CASE WHEN coalesce(e.data, '') = '' OR json_valid(e.data) THEN 0 ELSE 1 END AS bad_data"""
+
+
+@query(f"""SELECT batch_id, n_events, n_unknown, n_priority, n_type, n_data, n_events BETWEEN 1 AND 100 AND n_unknown + n_priority + n_type + n_data = 0 AS accepted FROM (
+  SELECT batch_id, count(*) AS n_events, sum(unknown_session)::BIGINT AS n_unknown, sum(bad_priority)::BIGINT AS n_priority, sum(bad_type)::BIGINT AS n_type, sum(bad_data)::BIGINT AS n_data
+  FROM (SELECT e.batch_id, {_FAULTS} FROM session_events e LEFT JOIN sessions s ON s.id = e.session_id) GROUP BY 1)""")
+def events_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which delivered batches a sink takes, and why not the others: all events of a batch or none."""
+    return eventlog.checked_batches(_events(spark, sf_dir), read_table(spark, sf_dir, "sessions"))
+
+
 @query(f"SELECT id, lower(hex({_HASH})) AS hash, coalesce(data_hash <> {_HASH}, false) AS differs FROM session_events")
 def events_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.event_hashes(_events(spark, sf_dir))

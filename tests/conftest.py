@@ -14,7 +14,6 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "2")
-        .config("spark.sql.codegen.wholeStage", "false")  # small tables: compiling takes longer than running
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
