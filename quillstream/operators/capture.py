@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The label grammar and the programs it knows.
@@ -10,15 +10,17 @@ PRODUCT, VERSION, LONGEST, SEQ_ROOM = "ctx", "v1", 200, 13
 READERS, SEARCHERS = ["cat", "head", "tail", "less", "more", "bat"], ["grep", "egrep", "fgrep", "rg", "ag"]
 GIT_SUBCOMMANDS = ["diff", "status", "log", "show"]
 CODE_SUFFIXES = "go py js ts tsx jsx java c h cpp hpp cc rs rb php cs kt swift scala sh sql proto".split()
-SECRETS = [(r"(?i)\b(authorization:\s*bearer|bearer)\s+\S+", "$1 <redacted>"), (r"(?i)(--?(?:password|passwd|token|secret|api[_-]?key))(?:=|\s+)\S+", "$1=<redacted>")]
+SECRET_OPTIONS = ["password", "passwd", "token", "secret", "api-key", "api_key", "apikey"]
 TRACE_BYTES = 512
 
 
 def encoded(c: Column) -> Column:
-    """A label segment with its reserved characters percent-encoded."""
+    """A label segment with its reserved and control characters percent-encoded."""
     for char in "%:#@ ":
         c = F.replace(c, F.lit(char), F.lit(f"%{ord(char):02X}"))
-    return c
+    control = r"[\x00-\x1f\x7f]"
+    each = F.transform(F.split(c, ""), lambda x: F.when(x.rlike(control), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(x)), 2, "0"))).otherwise(x))
+    return F.when(c.rlike(control), F.array_join(each, "")).otherwise(c)
 
 
 def short_hash(c: Column) -> Column:
@@ -65,6 +67,33 @@ def parsed(commands: DataFrame) -> DataFrame:
     return out.withColumn("args", F.when(sub.isNotNull(), F.slice("args", 2, F.greatest(F.size("args"), F.lit(1)))).otherwise(F.col("args"))).drop("__first", "__kept")
 
 
+#: What a shell takes as one: escaped characters, quoted text, or any other character but the separators of commands; a lone & is none.
+PIECE = r"""\\.|"(?:\\.|[^"\\])*"|'[^']*'|[^|;&\n"'\\]|&(?!&)"""
+
+
+def segments(command: Column) -> Column:
+    """The commands of a line, parted at pipes, `&&`, `;` and line breaks that aren't quoted; blank ones are left out."""
+    cut = F.regexp_extract_all(command, F.lit(rf"((?:{PIECE})++)"), F.lit(1))
+    return F.filter(F.transform(cut, lambda x: F.trim(F.regexp_replace(x, r"^\s*&", ""))), lambda x: F.length(x) > 0)
+
+
+def program_of(segment: Column) -> Column:
+    """The base name of the program a single command runs; null if it has assignments only."""
+    tokens = F.transform(F.regexp_extract_all(segment, F.lit(r"""((?:"[^"]*+"|'[^']*+'|[^\s"']++|["'])++)"""), F.lit(1)), lambda t: F.regexp_replace(t, "[\"']", ""))
+    said = F.filter(tokens, lambda t: ~t.rlike(r"^([A-Za-z_][A-Za-z0-9_]*=.*|(.*/)?env)$"))
+    return F.regexp_replace(F.get(said, F.lit(0)), "^.*/", "")
+
+
+def programs(command: Column) -> Column:
+    """The programs that a line runs, segment by segment."""
+    return F.filter(F.transform(segments(command), program_of), lambda x: x.isNotNull())
+
+
+def invokes(command: Column, program: str) -> Column:
+    """Whether any segment of a line runs a program, in whatever case, with or without `.exe`."""
+    return F.exists(programs(command), lambda x: F.lower(x).isin(program.lower(), program.lower() + ".exe"))
+
+
 def plans(invocations: DataFrame) -> DataFrame:
     """Label, mode and content type of rows (command, cwd, root, workspace, seq, ...).
 
@@ -106,18 +135,23 @@ def plans(invocations: DataFrame) -> DataFrame:
 
 
 def redacted(c: Column) -> Column:
-    """A text without secrets and control characters."""
+    """A text without secrets and control characters: the word after `bearer`, and the value of an option that holds a secret."""
     c = F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f\x7f]", "")
-    for pattern, by in SECRETS:
-        c = F.regexp_replace(c, pattern, by)
-    return c
+    bearer, option = r"\bbearer", "|".join(SECRET_OPTIONS)
+    c = F.regexp_replace(c, rf"(?i)({bearer})\s+[^\s]+", "$1 <redacted>")
+    return F.regexp_replace(c, rf"(?i)(-{{1,2}}(?:{option}))(?:\s+|=)[^\s]+", "$1=<redacted>")
+
+
+def whole_characters(raw: Column) -> Column:
+    """Bytes as text, without what is left of a character that was cut."""
+    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def trace_tail(stderr: Column) -> Column:
     """The last 512 bytes of an error stream, redacted first; whole characters only."""
     clean = F.trim(redacted(F.trim(stderr)))
     tail = F.substring(F.encode(clean, "UTF-8"), -TRACE_BYTES, TRACE_BYTES)
-    return F.trim(F.replace(F.decode(F.when(F.octet_length(clean) > TRACE_BYTES, tail).otherwise(F.encode(clean, "UTF-8")), "UTF-8"), F.lit("�"), F.lit("")))
+    return F.trim(F.when(F.octet_length(clean) > TRACE_BYTES, whole_characters(tail)).otherwise(clean))
 
 
 def events(planned: DataFrame) -> DataFrame:
@@ -163,6 +197,41 @@ def presentation(text: Column, failed: Column) -> Column:
     return F.when(size <= INLINE_MOST, "inline").when(failed & (size <= FAILURE_MOST), "failure").when(failed, "failure_cut").otherwise("compact")
 
 
+def shown(text: Column, failed: Column) -> Column:
+    """The payload as it is shown: whole, or of a long failure its first 4,096 and last 12,288 bytes (whole characters) around a line that tells what was left out; null where only a summary is."""
+    raw = F.encode(text, "UTF-8")
+    head, tail = whole_characters(F.substring(raw, 1, FAILURE_HEAD)), whole_characters(F.substring(raw, -(FAILURE_MOST - FAILURE_HEAD), FAILURE_MOST - FAILURE_HEAD))
+    gap = F.concat(F.when(head.endswith("\n"), "").otherwise("\n"), F.lit("["), (F.octet_length(text) - FAILURE_MOST).cast("string"), F.lit(" bytes left out]\n"))
+    mode = presentation(text, failed)
+    return F.when(mode.isin("inline", "failure"), text).when(mode == "failure_cut", F.concat(head, gap, tail))
+
+
+def single_line(text: Column) -> Column:
+    """A text on one line, runs of blanks as one."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def safe_session_id(ident: Column) -> Column:
+    """A session id that can name a folder: as it is, if short and of lower-case letters, digits, _ and -, else its hash."""
+    return F.when(ident.rlike(r"^[a-z0-9_-]{1,128}$"), ident).otherwise(F.sha2(ident, 256))
+
+
+#: Entries and bytes of an inventory, bytes of its heading and of what stands around an entry.
+INVENTORY_ENTRIES, INVENTORY_BYTES, HEADING_BYTES, ENTRY_BYTES = 20, 1024, 59, 8
+
+
+def inventory(seen: DataFrame, group: str, source: str, order: str) -> DataFrame:
+    """(group, source, last, position): the sources of each group seen last, at most 20 and as many as fit 1,024 bytes as lines under a heading.
+
+    Lines are cut whole: the first one that doesn't fit ends the list.
+    """
+    last = seen.groupBy(group, F.col(source).alias("source")).agg(F.max(order).alias("last"))
+    newest = Window.partitionBy(group).orderBy(F.col("last").desc(), "source")
+    first = last.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= INVENTORY_ENTRIES)
+    used = F.sum(F.octet_length(F.coalesce("source", F.lit(""))) + ENTRY_BYTES).over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return first.withColumn("__used", used).where(F.col("__used") <= INVENTORY_BYTES - HEADING_BYTES).drop("__used")
+
+
 def line_range(text: Column, start: int = 0, end: int = 0) -> Column:
     """Lines start to end of a text, from 1 and both included; 0 is the begin or the end; null if start lies past the last line."""
     lines = F.regexp_extract_all(text, F.lit(r"([^\n]*\n|[^\n]+)"), F.lit(1))

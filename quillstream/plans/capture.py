@@ -46,19 +46,28 @@ def capture_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("session_uuid").agg(F.count(F.lit(1)).alias("n_calls"), F.sum(F.when(F.col("exit_code") != 0, 1).otherwise(0)).alias("n_failed"), F.sum(size).alias("n_bytes"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(label, '@[a-z2-7]{6}$', ''), '#\d+$', '') AS base, split_part(label, ':', 3) AS domain, len(string_split(label, ':')) AS n_segments FROM documents WHERE label IS NOT NULL""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(label, '@[a-z2-7]{6}$', ''), '#\d+$', '') AS base, split_part(label, ':', 3) AS domain, len(string_split(label, ':')) AS n_segments,
+  TRY_CAST(nullif(regexp_extract(regexp_replace(label, '@[a-z2-7]{6}$', ''), '#(\d+)$', 1), '') AS BIGINT) AS seq, nullif(regexp_extract(label, '@([a-z2-7]{6})$', 1), '') AS token FROM documents WHERE label IS NOT NULL""")
 def labels_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").where("label is not null").withColumn("parts", F.split("label", ":"))
-    return docs.select("doc_id", capture.parsed_labels(F.col("label"))["base"].alias("base"), F.coalesce(F.get("parts", F.lit(2)), F.lit("")).alias("domain"), F.size("parts").cast("long").alias("n_segments"))
+    told = docs.withColumn("told", capture.parsed_labels(F.col("label")))
+    return told.select("doc_id", "told.base", F.coalesce(F.get("parts", F.lit(2)), F.lit("")).alias("domain"), F.size("parts").cast("long").alias("n_segments"), "told.seq", "told.token")
 
 
-@query("""SELECT item AS source, last_id, position FROM (SELECT session_uuid, item, last_id, row_number() OVER (PARTITION BY session_uuid ORDER BY last_id DESC) AS position FROM (
-  SELECT session_uuid, command AS item, max(event_id) AS last_id FROM observe_events GROUP BY 1, 2)) WHERE position <= 20""")
+@query("""SELECT session_uuid, item AS source, last_id, CAST(position AS INTEGER) AS position FROM (SELECT *, sum(octet_length(encode(coalesce(item, ''))) + 8) OVER (PARTITION BY session_uuid ORDER BY position) AS used FROM (
+  SELECT session_uuid, item, last_id, row_number() OVER (PARTITION BY session_uuid ORDER BY last_id DESC, item) AS position FROM (
+  SELECT session_uuid, command AS item, max(event_id) AS last_id FROM observe_events GROUP BY 1, 2) QUALIFY position <= 20)) WHERE used <= 965""")
 def capture_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty commands of each session that were seen last."""
-    last = read_table(spark, sf_dir, "observe_events").groupBy("session_uuid", F.col("command").alias("source")).agg(F.max("event_id").alias("last_id"))
-    order = Window.partitionBy("session_uuid").orderBy(F.col("last_id").desc())
-    return last.withColumn("position", F.row_number().over(order).cast("long")).where("position <= 20").select("source", "last_id", "position")
+    """The commands of each session that were seen last, as many as an inventory shows."""
+    return capture.inventory(read_table(spark, sf_dir, "observe_events"), "session_uuid", "command", "event_id").withColumnRenamed("last", "last_id")
+
+
+@query(r"""SELECT program, count(*) AS n_runs, count(DISTINCT event_id) AS n_commands FROM (SELECT event_id, regexp_replace(list_filter(string_split(trim(part), ' '), lambda x: x <> '' AND NOT regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*=') AND x <> 'env')[1], '^.*/', '') AS program
+  FROM (SELECT event_id, unnest(string_split_regex(command, '\|\||&&|[|;\n]')) AS part FROM observe_events)) WHERE program IS NOT NULL GROUP BY 1""")
+def capture_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs by the segments of command lines that run them."""
+    runs = read_table(spark, sf_dir, "observe_events").select("event_id", F.explode(capture.programs(F.col("command"))).alias("program"))
+    return runs.groupBy("program").agg(F.count(F.lit(1)).alias("n_runs"), F.count_distinct("event_id").alias("n_commands"))
 
 
 _PAYLOAD = r"""CASE WHEN length(regexp_replace(coalesce(stderr, ''), '\s+', '', 'g')) > 0 AND coalesce(stdout, '') <> ''
@@ -67,12 +76,17 @@ _PAYLOAD = r"""CASE WHEN length(regexp_replace(coalesce(stderr, ''), '\s+', '',
 
 
 @query(f"""SELECT event_id, octet_length(encode(p)) AS n_bytes, md5(p) AS digest, CASE WHEN octet_length(encode(p)) <= 4096 THEN 'inline'
-  WHEN failed AND octet_length(encode(p)) <= 16384 THEN 'failure' WHEN failed THEN 'failure_cut' ELSE 'compact' END AS shown
+  WHEN failed AND octet_length(encode(p)) <= 16384 THEN 'failure' WHEN failed THEN 'failure_cut' ELSE 'compact' END AS shown,
+  CASE WHEN octet_length(encode(p)) <= 4096 OR failed AND octet_length(encode(p)) <= 16384 THEN octet_length(encode(p)) WHEN failed AND length(p) = octet_length(encode(p))
+    THEN 16384 + length('[' || (length(p) - 16384) || ' bytes left out]') + 1 + CASE WHEN p[4096] = chr(10) THEN 0 ELSE 1 END END AS n_shown
   FROM (SELECT event_id, coalesce(exit_code <> 0, false) AS failed, {_PAYLOAD} AS p FROM observe_events)""")
 def capture_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = read_table(spark, sf_dir, "observe_events").withColumn("p", capture.payload(F.col("stdout"), F.col("stderr")))
     failed = F.coalesce(F.col("exit_code") != 0, F.lit(False))
-    return seen.select("event_id", F.octet_length("p").cast("long").alias("n_bytes"), F.md5("p").alias("digest"), capture.presentation(F.col("p"), failed).alias("shown"))
+    return seen.select(
+        "event_id", F.octet_length("p").cast("long").alias("n_bytes"), F.md5("p").alias("digest"), capture.presentation(F.col("p"), failed).alias("shown"),
+        F.octet_length(F.when((capture.presentation(F.col("p"), failed) != "failure_cut") | (F.length("p") == F.octet_length("p")), capture.shown(F.col("p"), failed))).cast("long").alias("n_shown"),
+    )
 
 
 @query(r"""SELECT doc_id, CASE WHEN len(ls) >= 3 THEN md5(array_to_string(ls[3:8], '')) END AS digest FROM (SELECT doc_id, regexp_extract_all(text, '([^\n]*\n|[^\n]+)') AS ls FROM documents WHERE text IS NOT NULL)""")

@@ -21,8 +21,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, unnest(range(len(ps))) AS p, unnest(list_transform(ps, lambda x: regexp_replace(x, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'))) AS body FROM (
     SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n') AS ps FROM documents WHERE text IS NOT NULL)) WHERE length(body) > 0""")
 def chunks_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"\n[ \t]*\n")).alias("p", "body"))
-    parts = parts.withColumn("body", C.trim_blank(F.col("body"))).where("length(body) > 0")
+    parts = C.paragraphs(_docs(spark, sf_dir))
     return parts.select("doc_id", "p", F.octet_length("body").cast("long").alias("n_bytes"), F.substring(C.trim_blank(C.first_line(F.col("body"))), 1, C.TITLE).alias("title"))
 
 
@@ -30,9 +29,7 @@ def chunks_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, line_no, line, sum(CASE WHEN regexp_matches(substr(line, 1, 80), '^.{{0,48}}?({_ANCHOR})') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run FROM (
     SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))) GROUP BY 1, 2""")
 def chunks_log_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = C.lines_of(_docs(spark, sf_dir))
-    anchor = F.substring("line", 1, 80).rlike("^.{0,48}?(" + C.ANCHOR + ")").cast("int")
-    runs = lines.withColumn("run", F.sum(anchor).over(C.so_far()))
+    runs = C.log_lines(_docs(spark, sf_dir))
     return runs.groupBy("doc_id", "run").agg(F.count(F.lit(1)).alias("n_lines"), (F.sum(F.octet_length("line") + 1) - 1).alias("n_bytes"))
 
 
@@ -46,6 +43,12 @@ def chunks_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.summaries(_docs(spark, sf_dir))
 
 
+@query()
+def chunks_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a summary lists of each document: its first sections with previews."""
+    return C.sections(_docs(spark, sf_dir))
+
+
 @query()
 def chunks_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.detected(_docs(spark, sf_dir).where("text is not null").withColumn("format", F.lit(None).cast("string")))

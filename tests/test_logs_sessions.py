@@ -80,6 +80,33 @@ def test_numbers_repeats_and_eviction_across_buckets(spark):
     assert sorted((r.session_id or 0, r.no) for r in same.collect()) == [(0, 1), *((s, n) for s in (1, 2) for n in range(1, 31))]
 
 
+def test_batches_are_taken_whole(spark):
+    good = (1, "t", 1, "{}")
+    rows = [(k, 1, *good[1:], 7) for k in range(100)] + [(200 + k, 1, *good[1:], 8) for k in range(101)]
+    rows += [(400, 1, "t", 1, "{}", 9), (401, 2, "t", 1, "{}", 9), (402, 1, "t", None, None, 10), (403, 1, "", 5, "{", 10), (404, 1, "x" * 65, 4, "", 10), (405, 1, "t", 4, "", None)]
+    events = spark.createDataFrame(rows, "id long, session_id long, type string, priority int, data string, batch_id long")
+    known = spark.createDataFrame([(1,)], "id long")
+    got = {r.batch_id: tuple(r)[1:] for r in eventlog.checked_batches(events, known).collect()}
+    assert got == {7: (100, 0, 0, 0, 0, True), 8: (101, 0, 0, 0, 0, False), 9: (2, 1, 0, 0, 0, False), 10: (3, 0, 2, 2, 1, False), None: (1, 0, 0, 0, 0, True)}
+    assert {r.id for r in eventlog.accepted_events(events, known).collect()} == {*range(100), 405}
+
+
+def test_segments_rereads_and_states(spark):
+    use = lambda n, t: json.dumps({"model": "m", "content": [{"type": "tool_use", "id": f"{n}{t}", "name": n, "input": {"file_path": t}}]})
+    rows = [(1, "s", "assistant", "a", use("Read", "x"), None), (2, "s", "system", "b", None, None), (3, "s", "assistant", "c", use("Read", "x"), None), (4, "s", "assistant", "d", use("Read", "y"), None), (5, "t", "user", "a", json.dumps({"content": "Permission denied by user"}), json.dumps({"type": "hook_result", "addedNames": []})), (6, None, "odd", None, None, None)]
+    records = spark.createDataFrame(rows, "record_id long, session_uuid string, record_type string, uuid string, message string, attachment string").withColumn("is_sidechain", F.lit(False))
+    segments = transcripts.segments(records)
+    assert sorted((r.record_id, r.segment) for r in segments.collect()) == [(1, 0), (2, 1), (3, 1), (4, 1), (5, 0), (6, 0)]
+    again = transcripts.rereads(transcripts.calls(records), segments)
+    assert sorted((r.record_id, r.reread) for r in again.collect()) == [(1, False), (3, True), (4, False)]
+    states = {r.session_uuid: tuple(r)[1:] for r in transcripts.state_flags(records).collect()}
+    assert states == {"s": (True, False, False, False, "m"), "t": (False, True, True, True, None), None: (False, False, False, False, None)}
+    assert [(r.what, r.kind, r.n) for r in transcripts.unknown_shapes(records).collect()] == [("record", "odd", 1)]
+    assert transcripts.known_only(records.where("record_id < 6")).count() == 5
+    with pytest.raises(Exception, match="unknown record type: odd"):
+        transcripts.known_only(records).collect()
+
+
 def test_labels_and_clients(spark):
     s = spark.createDataFrame([(1, "n", "c", AT, 10, None), (2, "n", "d", AT, None, None), (3, "m", "c", AT, 20_000, AT)], "id long, namespace string, client string, last_activity timestamp_ntz, ttl_minutes int, expires_at timestamp_ntz")
     labels = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (2, "a", "w"), (9, None, None)], "session_id long, label_key string, label_value string")
@@ -126,6 +153,47 @@ def test_long_labels_blank_commands_and_secrets(spark):
     assert (parts.base, parts.seq, parts.token) == ("a:b", 12, "abcdef")
 
 
+@pytest.mark.parametrize(
+    ("command", "programs"),
+    [
+        ("cat a.txt", ["cat"]), ("cat a | wc -l", ["cat", "wc"]), ("make && ./run.sh; /usr/bin/env X=1 go test", ["make", "run.sh", "go"]), ("A=b", []), ("", []), ("  ", []),
+        ("grep 'a|b;c' x || echo \"d && e\"", ["grep", "echo"]), ("go build 2>&1 | tee log", ["go", "tee"]), ("a |& b", ["a", "b"]), ("echo a\\|b", ["echo"]), ("one\ntwo", ["one", "two"]), (None, None),
+    ],
+)
+def test_programs_of_segments(spark, command, programs):
+    got = spark.createDataFrame([(command,)], "c string").select(capture.programs(F.col("c")).alias("p"), capture.invokes(F.col("c"), "TEE").alias("t")).first()
+    assert got.p == programs and (got.t or False) == ("tee" in (programs or []))
+
+
+def test_small_scalars_of_captures(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(capture.encoded(F.lit("a:b#c@d e%f\t\x7fé"))) == "a%3Ab%23c%40d%20e%25f%09%7Fé"
+    assert one(capture.single_line(F.lit(" a\n\t b  c "))) == "a b c"
+    assert one(capture.safe_session_id(F.lit("ab-1_"))) == "ab-1_" and one(capture.safe_session_id(F.lit("../A"))) == hashlib.sha256(b"../A").hexdigest()
+    assert one(capture.redacted(F.lit("authorization: Bearer abc -token x --api_key=y"))) == "authorization: Bearer <redacted> -token=<redacted> --api_key=<redacted>"
+
+
+def test_long_failures_are_cut_between_characters(spark):
+    text = "h" * 4095 + "é" * 10_000 + "t" * 1_000
+    rows = spark.createDataFrame([(text, True), (text, False), ("x" * 16_384, True), ("short", False)], "p string, failed boolean")
+    got = [r.s for r in rows.select(capture.shown(F.col("p"), F.col("failed")).alias("s")).collect()]
+    assert got[0].startswith("h" * 4095 + "\n[") and got[0].endswith("é" * 5_644 + "t" * 1_000) and "8711 bytes left out" in got[0] and "\ufffd" not in got[0]
+    assert got[1:] == [None, "x" * 16_384, "short"]
+
+
+@pytest.mark.parametrize("shift", [0, 1, 2])
+def test_trace_tails_are_cut_between_characters(spark, shift):
+    text = spark.createDataFrame([("x" * shift + "猫" * 400,)], "s string").select(capture.trace_tail(F.col("s"))).first()[0]
+    assert text == "猫" * 170
+
+
+def test_inventory_is_cut_at_whole_lines(spark):
+    rows = [("s", "a" * 500, 1), ("s", "b" * 500, 2), ("s", "c", 3), ("s", "c", 4), (None, "d", 1), *[("t", f"e{k}", k) for k in range(30)]]
+    got = capture.inventory(spark.createDataFrame(rows, "g string, c string, at long"), "g", "c", "at").collect()
+    assert sorted((r.g or "", r.position, r.source[:3]) for r in got if r.g != "t") == [("", 1, "d"), ("s", 1, "c"), ("s", 2, "bbb")]
+    assert sorted(r.last for r in got if r.g == "t") == list(range(10, 30))
+
+
 def test_payloads_and_line_ranges(spark):
     rows = [("a\n", "e", "inline"), ("a", "e", "inline"), (None, "e", "inline"), ("a", " \n", "inline"), ("x" * 5000, None, "compact")]
     df = spark.createDataFrame(rows, "o string, e string, want string").withColumn("p", capture.payload(F.col("o"), F.col("e")))
