@@ -2,15 +2,18 @@
 
 Three steps, of which only the first shuffles, and only narrow rows:
 
-1. `losing_positions`: identifier, delivery order and place in the file (path
-   and row index of the scan) are read; a partial aggregate finds the winner of
-   every identifier, and only identifiers with several copies are joined back.
+1. `losing_positions`: identifier, delivery order and place in the file (file
+   and row index of the scan) are read once and written as numbers; a partial
+   aggregate finds the winner of every identifier that has several copies.  Only
+   rows whose identifier may be one of those meet the winners: a bitmap of their
+   hashes, of fixed size, sorts out the others before the second shuffle.
 2. `deletion_vectors`: positions of the losers as one bitmap per 32,768 rows of
    a file, built by Spark's bitmap aggregate.
 3. `apply_deletion_vectors`: the wide rows are scanned and matched with the
    bitmaps by file and bucket.  A bitmap table has rows / 8 bytes at most; files
-   are taken in groups whose bitmaps stay below `broadcast_bytes`, so that the
-   wide rows are never shuffled, whatever the size of the table.
+   are taken in groups by their hash, as many as keep the bitmaps of a group
+   near `broadcast_bytes`, so that the wide rows are never shuffled, whatever
+   the size of the table, and no file or row is named in the driver.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from quillstream.sources.tables import written
 
 BITMAP_ROWS = 32_768
 BITMAP_BYTES = 4_096
+#: Bits of the bitmap of repeated identifiers.
+SIEVE_BITS = 1 << 27
 
 
 def event_hash(type_col: str = "type", data_col: str = "data") -> Column:
@@ -37,26 +42,34 @@ def event_hash(type_col: str = "type", data_col: str = "data") -> Column:
 
 
 def _placed(df: DataFrame) -> DataFrame:
-    return df.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    """df with the file of each row, as a hash of its path, and its place there."""
+    return df.withColumns({"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+
+
+def _bit(bits: Column, position: Column) -> Column:
+    """Whether a bit of a bitmap is set."""
+    byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce((F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(1)) == 1, F.lit(False))
 
 
 def losing_positions(scan: DataFrame, identifier: dict[str, Column], order: str) -> DataFrame:
     """File and row index of all copies but the first by `order` (then by place) of each identifier.
 
     scan: a DataFrame straight from a parquet scan.  identifier: the columns
-    that make the identifier; null is a value like any other.  Rows with a null
-    `order` come after all others.  Copies with equal order: the first by file
-    and row index stays.  Empty tables give no rows.
+    that make the identifier, which is compared by a hash of 128 bits; null is a
+    value like any other.  Rows with a null `order` come after all others.
+    Copies with equal order: the first by file (in the order of the hashes of
+    their paths) and row index stays.  Empty tables give no rows.
     """
-    narrow = _placed(scan).select(
-        *[c.alias(f"__k_{k}") for k, c in identifier.items()],
-        F.struct(F.col(order).isNull().alias("late"), F.col(order).alias("at"), F.col("__file").alias("file"), F.col("__row").alias("row")).alias("__place"),
-    )
-    names = [f"__k_{k}" for k in identifier]
-    several = narrow.groupBy(*names).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    several = several.select(*[F.col(n).alias(f"__w{n}") for n in names], "__first")
-    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__w{n}")) for n in names])
-    return narrow.join(several, same).where("__place > __first").select(F.col("__place.file").alias("file"), F.col("__place.row").alias("row"))
+    parts = [x for c in identifier.values() for x in (c.isNull(), c)]
+    place = F.struct(F.col(order).isNull().alias("late"), F.col(order).alias("at"), F.col("__file").alias("file"), F.col("__row").alias("row"))
+    narrow = written(_placed(scan).select(F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(7), *parts).alias("k2"), place.alias("place")), "deliveries")
+    several = narrow.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = written(several.select("k1", "k2", "first"), "repeated")
+    bit = F.pmod(F.col("k1"), F.lit(SIEVE_BITS)) + 1
+    sieve = several.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    maybe = narrow.withColumns({"bucket": F.bitmap_bucket_number(bit), "position": F.bitmap_bit_position(bit)}).join(F.broadcast(sieve), "bucket").where(_bit(F.col("bits"), F.col("position")))
+    return maybe.select("k1", "k2", "place").join(several, ["k1", "k2"]).where("place > first").select(F.col("place.file").alias("file"), F.col("place.row").alias("row"))
 
 
 def deletion_vectors(positions: DataFrame) -> DataFrame:
@@ -68,46 +81,25 @@ def deletion_vectors(positions: DataFrame) -> DataFrame:
     )
 
 
-def _file_groups(vectors: DataFrame, broadcast_bytes: int) -> list[list[str]]:
-    """Files that have deletions, in groups whose bitmaps fit the bound; a list of file names, not of rows."""
-    most = max(1, broadcast_bytes // BITMAP_BYTES)
-    groups: list[list[str]] = [[]]
-    held = 0
-    for row in vectors.groupBy("file").agg(F.count(F.lit(1)).alias("n")).orderBy("file").toLocalIterator():
-        if held and held + row["n"] > most:
-            groups.append([])
-            held = 0
-        groups[-1].append(row["file"])
-        held += row["n"]
-    return groups
-
-
 def apply_deletion_vectors(spark: SparkSession, path: str, vectors: DataFrame, columns: list[str] | None = None, deleted: bool = False, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Rows of the parquet table at `path` that the vectors leave (or, with deleted=True, drop)."""
     scan = spark.read.parquet(path)
     columns = columns or scan.columns
-    groups = _file_groups(vectors, broadcast_bytes)
-    at = F.col("__row") + 1
-    parts = []
-    for files in groups:
-        own = vectors if len(groups) == 1 else vectors.where(F.col("file").isin(files))
-        part = _placed(scan)
-        if len(groups) > 1:
-            part = part.where(F.col("__file").isin(files))
-        hit = part.join(
-            F.broadcast(own.select(F.col("file").alias("__vf"), F.col("bucket").alias("__vb"), F.col("bits").alias("__bits"))),
-            (F.col("__file") == F.col("__vf")) & (F.bitmap_bucket_number(at) == F.col("__vb")),
-            "inner" if deleted else "left",
-        )
-        position = F.bitmap_bit_position(at)
-        byte = F.conv(F.hex(F.substring(F.col("__bits"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        gone = F.coalesce(F.expr("shiftright(__byte, cast(__bit as int)) & 1") == 1, F.lit(False))
-        marked = hit.withColumns({"__byte": byte, "__bit": position % 8})
-        parts.append(marked.where(gone if deleted else ~gone).select(*columns))
-    if not deleted and len(groups) > 1:
-        named = [f for g in groups for f in g]
-        parts.append(_placed(scan).where(~F.col("__file").isin(named)).select(*columns))
-    return reduce(DataFrame.unionByName, parts)
+    groups = max(1, -(-vectors.count() // max(1, broadcast_bytes // BITMAP_BYTES)))
+    position = F.bitmap_bit_position(F.col("__row") + 1)
+
+    def part(own: DataFrame, held: DataFrame) -> DataFrame:
+        held = held.select(F.col("file").alias("__vf"), F.col("bucket").alias("__vb"), F.col("bits").alias("__bits"))
+        same = (F.col("__file") == F.col("__vf")) & (F.bitmap_bucket_number(F.col("__row") + 1) == F.col("__vb"))
+        hit = own.join(F.broadcast(held), same, "inner" if deleted else "left")
+        gone = _bit(F.col("__bits"), position)
+        return hit.where(gone if deleted else ~gone).select(*columns)
+
+    if groups == 1:
+        return part(_placed(scan), vectors)
+    # A condition on the path alone: files of other groups aren't read.
+    group = lambda file: F.pmod(file, F.lit(groups))
+    return reduce(DataFrame.unionByName, [part(_placed(scan).where(group(F.xxhash64("_metadata.file_path")) == g), vectors.where(group(F.col("file")) == g)) for g in range(groups)])
 
 
 def deduplicated_events(spark: SparkSession, path: str, columns: list[str] | None = None, deleted: bool = False) -> DataFrame:
