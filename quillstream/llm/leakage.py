@@ -5,17 +5,16 @@ longest that any leaked passage of such an item must hold unchanged: 16 words
 (12 shingles of five words) for items too short for a passage with a replaced
 word, 11 words (7 shingles; the larger side of 22 with one replaced) for longer
 ones, and 30 characters (21 shingles of ten) for scripts without blanks.
-Containment of an item's window in a document is what is searched: the document
-is covered by windows of the same size, the MinHash of a window is its smallest
-shingle hash, and a contained window has a MinHash that the document has, too
-(its Jaccard similarity to the window it equals is 1, so that one hash per
-window and one row per band miss nothing).  The MinHashes of the longer windows
-are among those of the shorter ones, so both partitions of words are searched
-with one set per document.
-
-MinHashes of items and documents are tables that are joined: the documents are
+Containment of an item's window in a document is what is searched: for each
+partition that has items the document is covered by windows of its size.  The
+signature of a window are its MinHashes under three hash functions, which make
+one band: a contained window equals one of the document's, so that its
+signature is found for sure, and windows that share only some of their shingles
+hardly agree in all three.
+
+Signatures of items and documents are tables that are joined: the documents are
 read once, whatever the number of items, and no item passes the driver.  Pairs
-with a common MinHash meet their texts again and are decided exactly: the
+with a common signature meet their texts again and are decided exactly: the
 shingles of a passage must be contained in the document one after the other, or
 those around one replaced word.
 """
@@ -51,15 +50,19 @@ class Partition:
     window: int
     run: int
     near: int  # 0: a replaced unit is no case
+    number: int
 
     @property
     def units(self) -> int:
         return self.shingle + self.window - 1
 
 
-SHORT = Partition(shingle=5, window=12, run=16, near=0)  # items of 16 to 21 words
-WORDS = Partition(shingle=5, window=7, run=16, near=22)
-CHARACTERS = Partition(shingle=10, window=21, run=30, near=0)
+SHORT = Partition(shingle=5, window=12, run=16, near=0, number=0)  # items of 16 to 21 words
+WORDS = Partition(shingle=5, window=7, run=16, near=22, number=1)
+CHARACTERS = Partition(shingle=10, window=21, run=30, near=0, number=2)
+PARTITIONS = (SHORT, WORDS, CHARACTERS)
+#: Odd factors of the hash functions of a signature beside the first.
+FUNCTIONS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
 def normalised(text: str) -> str:
@@ -100,27 +103,26 @@ def shingle_hashes(ids: np.ndarray, shingle: int) -> np.ndarray:
     return h
 
 
-def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest hash (the first of equal ones) of each window that has no NEVER; each position once."""
+def signatures(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of all windows that have no NEVER, and where they begin: their smallest hashes under three functions, in one number."""
     n = len(hashes) - window + 1
     if n <= 0:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     gaps = np.concatenate([[0], np.cumsum(hashes == NEVER)])
     whole = np.flatnonzero(gaps[window:] == gaps[:-window])
-    if not len(whole):
-        return np.empty(0, np.int64)
-    low, where = hashes[:n].copy(), np.zeros(n, np.int64)
-    for k in range(1, window):
-        less = hashes[k : k + n] < low
-        low[less] = hashes[k : k + n][less]
-        where[less] = k
-    return np.unique((where + np.arange(n))[whole])
+    value = np.zeros(n, np.uint64)
+    for factor in (None, *FUNCTIONS):
+        h = hashes if factor is None else (hashes * factor) ^ ((hashes * factor) >> np.uint64(31))
+        low = h[:n].copy()
+        for k in range(1, window):
+            np.minimum(low, h[k : k + n], out=low)
+        value = (value * np.uint64(0x9E3779B97F4A7C15)) ^ low
+    return value[whole], whole
 
 
-def min_hashes(units: list[str], part: Partition) -> np.ndarray:
-    """The MinHashes of all windows of a text, each once."""
-    h = shingle_hashes(word_hashes(units), part.shingle)
-    return np.unique(h[window_minima(h, part.window)])
+def signature_set(units: list[str], part: Partition) -> np.ndarray:
+    """The signatures of all windows of a text, each once."""
+    return np.unique(signatures(shingle_hashes(word_hashes(units), part.shingle), part.window)[0])
 
 
 def partition_of(text: str) -> tuple[Partition, list[str]] | None:
@@ -197,45 +199,49 @@ def passage_of(text: str) -> tuple[Partition, Units] | None:
 # ---- on Spark ----------------------------------------------------------------------
 
 
-def item_hashes(items: DataFrame) -> DataFrame:
-    """(item_id, dense, hash): the MinHashes of each item in its partition; dense: of scripts without blanks."""
+def item_signatures(items: DataFrame) -> DataFrame:
+    """(item_id, part, signature): the signatures of each item in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, dense, hashes = [], [], []
+            ids, parts, found = [], [], [np.empty(0, np.int64)]
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if found := partition_of(text):
-                    h = min_hashes(found[1], found[0]).view(np.int64)
-                    ids += [item] * len(h)
-                    dense += [found[0] == CHARACTERS] * len(h)
-                    hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dense, pa.bool_()), pa.array(np.concatenate(hashes) if hashes else [], pa.int64())], names=["item_id", "dense", "hash"])
+                if own := partition_of(text):
+                    s = signature_set(own[1], own[0]).view(np.int64)
+                    ids += [item] * len(s)
+                    parts += [own[0].number] * len(s)
+                    found.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(np.concatenate(found))], names=["item_id", "part", "signature"])
 
-    return items.select("item_id", "text").where("text is not null").mapInArrow(run, "item_id long, dense boolean, hash long")
+    return items.select("item_id", "text").where("text is not null").mapInArrow(run, "item_id long, part int, signature long")
 
 
-def document_hashes(docs: DataFrame, dense: bool, batch_chars: int = 4_000_000) -> DataFrame:
-    """(doc_id, dense, hash): the MinHashes of each document's windows, each once; dense: also those of characters."""
-    kinds = [(WORDS, words), (CHARACTERS, characters)] if dense else [(WORDS, words)]
+def document_signatures(docs: DataFrame, parts: list[int], batch_chars: int = 4_000_000) -> DataFrame:
+    """(doc_id, part, signature): the signatures of each document's windows in the given partitions, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, texts in sliced(b, batch_chars):
-                for part, cut in kinds:
-                    chosen = [(d, cut(t)) for d, t in zip(ids, texts, strict=True) if part == WORDS or NO_BLANKS.search(t)]
+                for cut, kinds in ((words, (SHORT, WORDS)), (characters, (CHARACTERS,))):
+                    wanted = [k for k in kinds if k.number in parts]
+                    if not wanted:
+                        continue
+                    chosen = [(d, cut(t)) for d, t in zip(ids, texts, strict=True) if cut is not characters or NO_BLANKS.search(t)]
                     # All documents of a slice at once, with a unit 0 between them that no window may hold.
                     flat = word_hashes([u for _, units in chosen for u in units])
                     lengths = np.array([len(units) for _, units in chosen], np.int64)
                     joined = np.zeros(len(flat) + len(lengths), np.uint64)
-                    owner = np.repeat(np.arange(len(lengths)), lengths)
-                    joined[np.arange(len(flat)) + owner] = flat
-                    h = shingle_hashes(joined, part.shingle)
-                    at = window_minima(h, part.window)
-                    of = np.searchsorted(np.cumsum(lengths + 1), at, "right")
-                    hashes = h[at].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in chosen], pa.int64()).take(pa.array(of)), pa.array(np.full(len(of), part == CHARACTERS)), pa.array(hashes)], names=["doc_id", "dense", "hash"])
+                    joined[np.arange(len(flat)) + np.repeat(np.arange(len(lengths)), lengths)] = flat
+                    h = shingle_hashes(joined, wanted[0].shingle)
+                    owners = pa.array([d for d, _ in chosen], pa.int64())
+                    for part in wanted:
+                        value, at = signatures(h, part.window)
+                        new = np.ones(len(value), bool)
+                        new[1:] = (value[1:] != value[:-1]) | (np.diff(at) > 1)  # windows in a row mostly share theirs
+                        of = np.searchsorted(np.cumsum(lengths + 1), at[new], "right")
+                        yield pa.RecordBatch.from_arrays([owners.take(pa.array(of)), pa.array(np.full(len(of), part.number, np.int32)), pa.array(value[new].view(np.int64))], names=["doc_id", "part", "signature"])
 
-    return docs.select("doc_id", "text").where("length(trim(text)) > 0").mapInArrow(run, "doc_id long, dense boolean, hash long")
+    return docs.select("doc_id", "text").where("length(trim(text)) > 0").mapInArrow(run, "doc_id long, part int, signature long")
 
 
 def sliced(b: pa.RecordBatch, most_chars: int) -> Iterator[tuple[list, list[str]]]:
@@ -253,10 +259,10 @@ def sliced(b: pa.RecordBatch, most_chars: int) -> Iterator[tuple[list, list[str]
 
 
 def candidate_pairs(docs: DataFrame, items: DataFrame, batch_chars: int = 4_000_000) -> DataFrame:
-    """(doc_id, item_id) with a MinHash in common, each pair once."""
-    own = written(item_hashes(items).distinct(), "item-hashes")
-    dense = not own.where("dense").isEmpty()
-    return document_hashes(docs, dense, batch_chars).join(small(own), ["dense", "hash"]).select("doc_id", "item_id").distinct()
+    """(doc_id, item_id) with a signature in common, each pair once."""
+    own = written(item_signatures(items).distinct(), "item-signatures")
+    parts = [r["part"] for r in own.select("part").distinct().collect()]  # three at most
+    return document_signatures(docs, parts, batch_chars).join(small(own), ["part", "signature"]).select("doc_id", "item_id").distinct()
 
 
 def leaked_pairs(docs: DataFrame, items: DataFrame, batch_chars: int = 4_000_000) -> DataFrame:

@@ -34,7 +34,7 @@ def search(docs, items):
     for k, own in items:
         part, units = L.partition_of(" ".join(own)) or (None, None)
         for d, doc in enumerate(docs):
-            if part and set(L.min_hashes(units, part)) & set(L.min_hashes(doc, L.WORDS)) and L.contained(L.Units(doc), L.Units(units), part):
+            if part and set(L.signature_set(units, part)) & set(L.signature_set(doc, part)) and L.contained(L.Units(doc), L.Units(units), part):
                 found.add((d, k))
     return found
 
@@ -76,13 +76,20 @@ def test_characters(n, hit):
     part, units = L.partition_of(HAN)
     doc = L.characters("x" + HAN[50 : 50 + n] + "。")
     assert part is L.CHARACTERS and L.contained(L.Units(doc), L.Units(units), part) == hit
-    assert not hit or set(L.min_hashes(units, part)) & set(L.min_hashes(doc, part))
+    assert not hit or set(L.signature_set(units, part)) & set(L.signature_set(doc, part))
 
 
-@pytest.mark.parametrize("size", [16, 21, 22, 60, 400])
-def test_longer_windows_have_the_hashes_of_shorter_ones(size):
-    doc = noise(size)
-    assert set(L.min_hashes(doc, L.SHORT)) <= set(L.min_hashes(doc, L.WORDS))
+def test_candidates_are_few_and_hold_all_cases(spark):
+    items = [(k, " ".join(RNG.choice(VOCABULARY[:60]) for _ in range(RNG.choice([16, 20, 25, 70])))) for k in range(40)]
+    docs = []
+    for d in range(150):
+        own = RNG.choice(items)[1].split()
+        at = RNG.randint(0, max(0, len(own) - 22))
+        docs.append((d, " ".join(noise(40) + (own[at : at + 22] if d % 3 == 0 else own[at : at + 8]) + noise(20))))
+    want = {(d, k) for d, t in docs for k, own in items if cases(t.split(), own.split())}
+    pairs = {tuple(r) for r in L.candidate_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 40 and want <= pairs
+    assert len(pairs - want) < 25  # of a hundred documents with eight words of an item in a row
 
 
 def test_repeated_words_stay_linear():
