@@ -17,22 +17,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application below spark.checkpoint.dir, which all executors share.
 
-    Only where the setting is missing (tests, a local session) a temporary
-    folder of this machine takes its place.
+    Only where the setting is missing and the session is a local one (tests) a
+    temporary folder of this machine takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not root:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        if context_dir:
-            root = context_dir
-        elif spark.sparkContext.master.startswith("local["):
-            root = "file://" + tempfile.mkdtemp(prefix="quillstream-")
-        else:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+        if spark.sparkContext.applicationId not in _local:
+            _local[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillstream-")
+        root = _local[spark.sparkContext.applicationId]
+    return f"{root.rstrip('/')}/quillstream-{spark.sparkContext.applicationId}"
+
+
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession, what: str) -> str:
+    """A new folder for `what` in the folder of this application."""
+    return f"{run_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove what this application wrote to cut lineages; DataFrames that read it can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, what: str, *by: str) -> DataFrame:
