@@ -181,18 +181,29 @@ def fallback_terms(queries: DataFrame, text: str) -> DataFrame:
     return queries.select("query_id", F.explode(F.slice(F.array_distinct(kept), 1, MOST_TERMS)).alias("term"))
 
 
+def _rare_first(grams: Column, least: float) -> Column:
+    """As many of a word's trigrams, in one order for all words with those of word beginnings last, as two words with that similarity can't both do without."""
+    ordered = F.array_sort(F.transform(grams, lambda g: F.struct(g.startswith("  ").alias("begins"), F.xxhash64(g).alias("hash"), g.alias("gram"))))
+    return F.transform(F.slice(ordered, 1, F.size(grams) - F.ceil(F.size(grams) * F.lit(least)).cast("int") + 1), lambda x: x["gram"])
+
+
 def similar_words(words: DataFrame, terms: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(term, word, similarity) of all words that share at least `least` of their trigrams with a term.
 
-    Each distinct word meets only the terms with which it shares a trigram.
+    Each distinct word meets only the terms of fitting length with which it
+    shares one of the trigrams that such a pair must share (a prefix filter);
+    what they share is then counted.
     """
     of_words = F.array_distinct(F.flatten(F.transform(tokens(F.col("term")), trigrams)))  # a term may hold marks
-    grams = terms.select("term").distinct().withColumn("grams", of_words)
-    wanted = small(grams.select("term", F.size("grams").alias("n_term"), F.explode("grams").alias("gram")))
+    wanted = terms.select("term").distinct().withColumn("term_grams", of_words).where(F.size("term_grams") > 0)
+    wanted = small(wanted.select("term", "term_grams", F.explode(_rare_first(F.col("term_grams"), least)).alias("gram")))
     own = words.select("word").distinct().withColumn("grams", trigrams(F.col("word")))
-    shared = own.select("word", F.size("grams").alias("n_word"), F.explode("grams").alias("gram")).join(wanted, "gram")
-    by = shared.groupBy("term", "word", "n_term", "n_word").agg(F.count(F.lit(1)).alias("both"))
-    return by.select("term", "word", (F.col("both") / (F.col("n_term") + F.col("n_word") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= least)
+    met = own.select("word", "grams", F.explode(_rare_first(F.col("grams"), least)).alias("gram")).join(wanted, "gram")
+    fits = (F.size("grams") >= least * F.size("term_grams")) & (F.size("term_grams") >= least * F.size("grams"))
+    both = F.size(F.array_intersect("grams", "term_grams"))
+    similarity = both / (F.size("grams") + F.size("term_grams") - both)
+    found = met.where(fits).select("term", "word", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    return found.dropDuplicates(["term", "word"])
 
 
 def trigram_hits(docs: DataFrame, terms: DataFrame, exclude: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
