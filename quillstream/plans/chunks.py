@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from quillstream.operators import chunking as C
 from quillstream.operators import inorder
 from quillstream.plans.registry import query
-from quillstream.sources.tables import read_table, written
+from quillstream.sources.tables import read_table, spread, written
 
 _ANCHOR = C.ANCHOR.replace("'", "''")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").withColumnRenamed("format_hint", "format")
+    return spread(read_table(spark, sf_dir, "documents")).withColumnRenamed("format_hint", "format")
 
 
 @query(r"""SELECT doc_id, CAST(p AS INTEGER) AS p, octet_length(encode(body)) AS n_bytes, substr(trim(split_part(body, chr(10), 1), ' ' || chr(9) || chr(160) || chr(13)), 1, 60) AS title FROM (
