@@ -96,9 +96,16 @@ def known_only(records: DataFrame) -> DataFrame:
     return records.withColumn("record_type", F.when(kind.isin(*RECORD_TYPES), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("unknown record type: "), kind)).cast("string")))
 
 
+def unwrapped(message: Column) -> Column:
+    """What a JSON string holds, if it holds JSON; else the message itself."""
+    inner = F.call_function("try_variant_get", F.call_function("try_parse_json", message), F.lit("$"), F.lit("string"))
+    return F.when(message.rlike(r'^\s*"') & F.call_function("try_parse_json", inner).isNotNull(), inner).otherwise(message)
+
+
 def usage(records: DataFrame) -> DataFrame:
-    """Tokens per session; each message id counts once, with the first record that has it."""
-    body = records.where("message is not null and try_parse_json(message) is not null").select("session_uuid", "record_id", *[F.get_json_object("message", f"$.{p}").alias(n) for p, n in (("id", "message_id"), ("usage.output_tokens", "output"), ("usage.input_tokens", "input"))])
+    """Tokens per session; each message id counts once, with the first record that has it.  A wrapped JSON string counts as what it wraps."""
+    told = records.where("message is not null and try_parse_json(message) is not null").withColumn("message", unwrapped(unwrapped(F.col("message"))))
+    body = told.select("session_uuid", "record_id", *[F.get_json_object("message", f"$.{p}").alias(n) for p, n in (("id", "message_id"), ("usage.output_tokens", "output"), ("usage.input_tokens", "input"))])
     first = body.where("message_id is not null").groupBy("session_uuid", "message_id").agg(F.min_by(F.struct("output", "input"), "record_id").alias("u"))
     number = lambda c: F.sum(F.coalesce(F.col(c).try_cast("long"), F.lit(0)))
     return first.groupBy("session_uuid").agg(F.count(F.lit(1)).alias("n_messages"), number("u.output").alias("output_tokens"), number("u.input").alias("input_tokens"))

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.operators import transcripts as T
-from quillstream.plans.core_problems import nested_sql
+from quillstream.plans.core_problems import nested_sql, read_sql
 from quillstream.plans.registry import query
 from quillstream.sources.tables import read_table
 
-_USAGE = """SELECT session_uuid, count(*) AS n_messages, sum(coalesce(output, 0))::BIGINT AS output_tokens, sum(coalesce(input, 0))::BIGINT AS input_tokens FROM (
+_USAGE = f"""SELECT session_uuid, count(*) AS n_messages, sum(coalesce(output, 0))::BIGINT AS output_tokens, sum(coalesce(input, 0))::BIGINT AS input_tokens FROM (
   SELECT session_uuid, message_id, arg_min(coalesce(output, 0), record_id) AS output, arg_min(coalesce(input, 0), record_id) AS input FROM (
-    SELECT session_uuid, record_id, json_extract_string(message, '$.id') AS message_id, TRY_CAST(json_extract_string(message, '$.usage.output_tokens') AS BIGINT) AS output,
-    TRY_CAST(json_extract_string(message, '$.usage.input_tokens') AS BIGINT) AS input FROM transcript_records WHERE json_valid(message)) WHERE message_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1"""
+    SELECT session_uuid, record_id, j ->> '$.id' AS message_id, TRY_CAST(j ->> '$.usage.output_tokens' AS BIGINT) AS output,
+    TRY_CAST(j ->> '$.usage.input_tokens' AS BIGINT) AS input FROM ({read_sql('message', 'SELECT session_uuid, record_id, message FROM transcript_records')}) WHERE json_type(j) = 'OBJECT')
+    WHERE message_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1"""
 _CELLS = f"""SELECT s.namespace AS task, a.label_value AS arm, u.output_tokens AS value FROM ({_USAGE}) u
   JOIN session_labels h ON h.label_key = 'harness_session' AND h.label_value = u.session_uuid
   JOIN session_labels a ON a.label_key = 'arm' AND a.session_id = h.session_id JOIN sessions s ON s.id = h.session_id"""

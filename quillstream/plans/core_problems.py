@@ -71,7 +71,7 @@ _TEXT = "CASE WHEN json_type({0}) = 'VARCHAR' THEN {0} ->> '$' ELSE CAST({0} AS
 _TYPE = "CASE WHEN json_type({0}) = 'VARCHAR' THEN 'text' WHEN json_type({0}) <> 'OBJECT' OR coalesce(json_type({0}, '$.type'), 'NULL') = 'NULL' THEN '' ELSE {0} ->> '$.type' END"
 
 
-def _read(column: str, source: str) -> str:
+def read_sql(column: str, source: str) -> str:
     """JSON of a column; what is wrapped as a string, once or twice, counts as what it wraps."""
     first = f"SELECT *, CASE WHEN json_valid({column}) THEN {column}::JSON END AS j0 FROM ({source})"
     return f"SELECT * EXCLUDE (j0, j1), {_UNWRAPPED.format('j1')} AS j FROM (SELECT *, {_UNWRAPPED.format('j0')} AS j1 FROM ({first}))"
@@ -85,11 +85,11 @@ def _spread(value: str, name: str, source: str) -> str:
 
 def nested_sql(records: str) -> str:
     """(record_id, child, pos, sub_pos, kind, b) of blocks, parts and names of rows (record_id, message, attachment, ...)."""
-    said = f"SELECT *, json_extract(j, '$.content') AS c FROM ({_read('message', records)}) WHERE json_type(j) = 'OBJECT'"
+    said = f"SELECT *, json_extract(j, '$.content') AS c FROM ({read_sql('message', records)}) WHERE json_type(j) = 'OBJECT'"
     blocks = _spread("c", "b", said)
     results = f"SELECT *, json_extract(b, '$.content') AS pc FROM ({blocks}) WHERE json_type(b) = 'OBJECT' AND b ->> '$.type' = 'tool_result' AND json_type(b, '$.content') IN ('ARRAY', 'OBJECT')"
     parts = _spread("pc", "p", results)
-    attached = f"SELECT * FROM ({_read('attachment', records)}) WHERE json_type(j) = 'OBJECT'"
+    attached = f"SELECT * FROM ({read_sql('attachment', records)}) WHERE json_type(j) = 'OBJECT'"
     names = _spread("n", "e", f"SELECT *, json_extract(j, '$.addedNames') AS n FROM ({attached})")
     servers = _spread("s", "v", f"SELECT *, json_extract(j, '$.servers') AS s FROM ({attached})")
     inner = _spread("n", "e", f"SELECT *, json_extract(v, '$.addedNames') AS n FROM ({servers}) WHERE json_type(v) = 'OBJECT'")

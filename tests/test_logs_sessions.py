@@ -107,6 +107,13 @@ def test_segments_rereads_and_states(spark):
         transcripts.known_only(records).collect()
 
 
+def test_usage_of_wrapped_messages(spark):
+    said = lambda i, n: json.dumps({"id": i, "usage": {"output_tokens": n, "input_tokens": 2 * n}})
+    rows = [(1, "s", said("a", 1)), (2, "s", json.dumps(said("b", 10))), (3, "s", json.dumps(json.dumps(said("c", 100)))), (4, "s", said("a", 7)), (5, "s", said("d", 9)[:-2]), (6, "s", '"plain"'), (7, "s", None)]
+    got = transcripts.usage(spark.createDataFrame(rows, "record_id long, session_uuid string, message string")).first()
+    assert (got.n_messages, got.output_tokens, got.input_tokens) == (3, 111, 222)
+
+
 def test_labels_and_clients(spark):
     s = spark.createDataFrame([(1, "n", "c", AT, 10, None), (2, "n", "d", AT, None, None), (3, "m", "c", AT, 20_000, AT)], "id long, namespace string, client string, last_activity timestamp_ntz, ttl_minutes int, expires_at timestamp_ntz")
     labels = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (2, "a", "w"), (9, None, None)], "session_id long, label_key string, label_value string")
