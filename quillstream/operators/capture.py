@@ -216,6 +216,16 @@ def safe_session_id(ident: Column) -> Column:
     return F.when(ident.rlike(r"^[a-z0-9_-]{1,128}$"), ident).otherwise(F.sha2(ident, 256))
 
 
+def workspace_ids(seen: DataFrame, path: str, order: str) -> DataFrame:
+    """(path, workspace): the last part of each path; of several paths that end alike all but the one seen first get eight digits of their hash."""
+    first = seen.where(F.length(F.coalesce(path, F.lit(""))) > 0).groupBy(F.col(path).alias("path")).agg(F.min(order).alias("first"))
+    named = first.withColumn("base", F.regexp_extract("path", "([^/]*)/*$", 1))
+    winners = named.groupBy("base").agg(F.min(F.struct("first", "path"))["path"].alias("winner"))
+    joined = named.join(winners, "base")
+    ident = F.when(F.col("path") == F.col("winner"), F.col("base")).otherwise(F.concat("base", F.lit("-"), F.substring(F.sha2("path", 256), 1, 8)))
+    return joined.select("path", ident.alias("workspace"))
+
+
 #: Entries and bytes of an inventory, bytes of its heading and of what stands around an entry.
 INVENTORY_ENTRIES, INVENTORY_BYTES, HEADING_BYTES, ENTRY_BYTES = 20, 1024, 59, 8
 

@@ -70,6 +70,12 @@ def capture_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("program").agg(F.count(F.lit(1)).alias("n_runs"), F.count_distinct("event_id").alias("n_commands"))
 
 
+@query("""SELECT path, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY first_id, path) = 1 THEN base ELSE base || '-' || substr(sha256(path), 1, 8) END AS workspace FROM (
+  SELECT cwd AS path, min(event_id) AS first_id, regexp_extract(cwd, '([^/]*)/*$', 1) AS base FROM observe_events WHERE coalesce(cwd, '') <> '' GROUP BY 1)""")
+def capture_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.workspace_ids(read_table(spark, sf_dir, "observe_events"), "cwd", "event_id")
+
+
 _PAYLOAD = r"""CASE WHEN length(regexp_replace(coalesce(stderr, ''), '\s+', '', 'g')) > 0 AND coalesce(stdout, '') <> ''
   THEN '[stdout]' || chr(10) || stdout || CASE WHEN suffix(stdout, chr(10)) THEN chr(10) ELSE chr(10) || chr(10) END || '[stderr]' || chr(10) || stderr
   WHEN length(regexp_replace(coalesce(stderr, ''), '\s+', '', 'g')) > 0 THEN '[stderr]' || chr(10) || stderr ELSE coalesce(stdout, '') END"""

@@ -194,6 +194,12 @@ def test_trace_tails_are_cut_between_characters(spark, shift):
     assert text == "猫" * 170
 
 
+def test_workspaces_that_end_alike(spark):
+    rows = [("/b/app", 5), ("/a/app/", 2), ("/a/app/", 9), ("/c/x", 1), (None, 3), ("", 4)]
+    got = {r.path: r.workspace for r in capture.workspace_ids(spark.createDataFrame(rows, "p string, at long"), "p", "at").collect()}
+    assert got == {"/a/app/": "app", "/b/app": "app-" + hashlib.sha256(b"/b/app").hexdigest()[:8], "/c/x": "x"}
+
+
 def test_inventory_is_cut_at_whole_lines(spark):
     rows = [("s", "a" * 500, 1), ("s", "b" * 500, 2), ("s", "c", 3), ("s", "c", 4), (None, "d", 1), *[("t", f"e{k}", k) for k in range(30)]]
     got = capture.inventory(spark.createDataFrame(rows, "g string, c string, at long"), "g", "c", "at").collect()
