@@ -16,12 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.operators.capture import whole_characters
 from quillstream.operators.textindex import FALLBACK_STOP_WORDS
 
 #: Characters of a snippet, weight of relevance against repetition, rows of a response.
 SNIPPET, RELEVANCE_WEIGHT, MOST_QUERIES, MOST_HITS = 400, 0.7, 10, 50
 #: Bytes of a response by default and at most.
 BUDGET_DEFAULT, BUDGET_CEILING = 4096, 65_536
+#: Fixed value: bytes of a response's text.
+TEXT_MOST = 8192
 SENTENCE_ENDS = frozenset(".!?\n")
 
 
@@ -283,3 +286,48 @@ def search_meta(hits: DataFrame, chosen: DataFrame, asked: DataFrame, budgets: D
     filled = joined.fillna(0, names).withColumn("budget_bytes", F.coalesce("budget_bytes", F.lit(BUDGET_DEFAULT)))
     left = F.col("found") - F.col("results_refused") - F.col("hit_count")
     return filled.select("request_id", "budget_bytes", *[n for n in names if n != "found"], left.alias("results_omitted"), (left > 0).alias("budget_exceeded"))
+
+
+# ---- responses as text -------------------------------------------------------------
+
+
+def _counted(n: Column, one: str, many: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
+def _quoted(c: Column) -> Column:
+    for raw, told in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(raw), F.lit(told))
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def _in_order(order: Column | str, text: Column | str) -> Column:
+    """Texts of a group one after the other; a response has at most ten queries of fifty hits."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "")
+
+
+def response_texts(hits: DataFrame, asked: DataFrame, most: int = TEXT_MOST) -> DataFrame:
+    """(request_id, text, whole_bytes): what a response shows, each query with its hits in order, cut after `most` bytes of whole characters.
+
+    hits: (query_id, rank, title, source, snippet, layer); asked: (request_id,
+    query_id, query) of all queries.  Requests without any hit have no text.
+    """
+    none = F.lit("")
+    told = F.concat(F.lit("["), "layer", F.lit("] "), F.coalesce("title", none), F.lit("  ("), F.coalesce("source", none), F.lit(")\n"), F.coalesce("snippet", none), F.lit("\n"))
+    shown = hits.withColumn("__told", told).groupBy("query_id").agg(_in_order("rank", "__told").alias("body"), F.count(F.lit(1)).alias("n"))
+    each = asked.join(shown, "query_id", "left").fillna({"n": 0, "body": ""})
+    head = F.concat(F.lit("\n# "), _quoted(F.coalesce("query", none)), F.lit(" \u2014 "), _counted(F.col("n"), "hit", "hits"), F.lit("\n"), "body")
+    by = each.withColumn("__told", head).groupBy("request_id").agg(_in_order("query_id", "__told").alias("body"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_queries"))
+    text = F.concat(_counted(F.col("n"), "hit", "hits"), F.lit(" across "), _counted(F.col("n_queries"), "query", "queries"), F.lit(":\n"), "body")
+    whole = by.where("n > 0").withColumn("whole", text)
+    cut = F.concat(whole_characters(F.substring(F.encode("whole", "UTF-8"), 1, most)), F.lit("\u2026"))
+    return whole.select("request_id", F.when(F.octet_length("whole") > most, cut).otherwise(F.col("whole")).alias("text"), F.octet_length("whole").alias("whole_bytes"))
+
+
+def compact_bytes(hits: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, n_bytes) of each query's hits as plain lines: the query, then source, title, layer and snippet of each."""
+    none = F.lit("")
+    lines = F.concat(F.lit("\nsource: "), F.coalesce("source", none), F.lit("\ntitle: "), F.coalesce("title", none), F.lit("\nmatch_layer: "), "layer", F.lit("\nsnippet: "), F.coalesce("snippet", none))
+    by = hits.groupBy("query_id").agg(F.sum(F.octet_length(lines)).alias("n"))
+    size = F.octet_length(F.concat(F.lit("query: "), F.coalesce("query", none))) + F.coalesce("n", F.lit(0))
+    return asked.join(by, "query_id", "left").select("query_id", size.cast("long").alias("n_bytes"))

@@ -242,6 +242,22 @@ def search_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.search_meta(hits, H.allocate(hits.join(budgets, "request_id"), None, "rank-round"), asked, budgets)
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _queries(spark, sf_dir).select(F.expr("query_id div 10").alias("request_id"), "query_id", F.col("text").alias("query"))
+
+
+@query()
+def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses as they are shown."""
+    return H.response_texts(_sized(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query()
+def search_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each query's answer in plain lines."""
+    return H.compact_bytes(_sized(spark, sf_dir), _asked(spark, sf_dir))
+
+
 @query(f"""SELECT source, count(*) AS n_docs, count(DISTINCT label) AS n_labels, sum(CASE WHEN content_type = 'code' THEN 1 ELSE 0 END)::BIGINT AS n_code,
   sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS n_bytes, epoch_us(max(indexed_at)) AS last_us FROM documents GROUP BY 1""")
 def sources_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,18 @@ def test_meta_of_responses(spark):
     assert [r.id for r in H.refused(hits_).collect()] == [4]
 
 
+def test_responses_as_text(spark):
+    schema = "query_id long, rank int, title string, source string, snippet string, layer string"
+    hits_ = spark.createDataFrame([(1, 2, "b", "s", "two", "primary"), (1, 1, "a", None, "one", "primary"), (2, 1, "c", "s", "é" * 6_000, "trigram")], schema)
+    asked = spark.createDataFrame([(1, 1, 'q "x"\n'), (1, 3, "none"), (2, 2, "long"), (3, 4, "nothing")], "request_id long, query_id long, query string")
+    got = {r.request_id: (r.text, r.whole_bytes) for r in H.response_texts(hits_, asked).collect()}
+    first = '2 hits across 2 queries:\n\n# "q \\"x\\"\\n" — 2 hits\n[primary] a  ()\none\n[primary] b  (s)\ntwo\n\n# "none" — 0 hits\n'
+    assert got[1] == (first, len(first.encode())) and set(got) == {1, 2}
+    assert got[2][0].endswith("é…") and 8190 <= len(got[2][0].encode()) - 3 <= 8192 and got[2][1] > 12_000
+    sizes = {r.query_id: r.n_bytes for r in H.compact_bytes(hits_, asked).collect()}
+    assert sizes[1] == len('query: q "x"\n\nsource: \ntitle: a\nmatch_layer: primary\nsnippet: one\nsource: s\ntitle: b\nmatch_layer: primary\nsnippet: two') and sizes[3] == len("query: none")
+
+
 def test_tiers_weights_and_empty(spark):
     docs = spark.createDataFrame([(1, "prose", "", "alpha beta"), (2, "prose", "alpha", "x"), (3, "code", "", "alpha"), (4, "prose", "", "none here"), (5, "prose", "", "")], CORPUS)
     queries = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, "alpha"), (3, "absent")], "query_id long, term string")
