@@ -8,7 +8,11 @@ scanned where it lies and only postings of query terms are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,14 +101,6 @@ def query_terms(queries: DataFrame, text: str, least: int = 1) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(F.filter(tokens(F.col(text)), lambda t: F.length(t) >= least))).alias("term"))
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(cls, field, id, term, tf, dl) of the given terms."""
-    fields = [docs.select("id", "cls", F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in WEIGHTS]
-    words = fields[0].unionByName(fields[1]).withColumn("dl", F.size("words"))
-    found = words.select("id", "cls", "field", "dl", F.explode("words").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
-    return found.groupBy("cls", "field", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def class_words(text: Column) -> Column:
     """Tokens that count in a text's class: of prose those that are no stop words, of code all."""
     words = tokens(text)
@@ -117,14 +113,50 @@ def class_terms(terms: DataFrame) -> DataFrame:
     return prose.unionByName(terms.select("query_id", F.lit("code").alias("cls"), "term")).distinct()
 
 
-def class_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """As `postings`, of terms (cls, term): words of prose count by their stems; each distinct word is stemmed once, not each token."""
-    fields = [docs.select("id", "cls", F.lit(f).alias("field"), class_words(F.col(f)).alias("words")) for f in WEIGHTS]
-    words = fields[0].unionByName(fields[1]).withColumn("dl", F.size("words")).select("id", "cls", "field", "dl", F.explode("words").alias("word"))
-    distinct = words.select("cls", "word").distinct()
-    forms = distinct.where("cls = 'prose'").withColumn("term", stemmed("word")).unionByName(distinct.where("cls <> 'prose'").withColumn("term", F.col("word")))
-    wanted = written(forms.join(small(terms.select("cls", "term").distinct()), ["cls", "term"], "left_semi"), "word-forms")
-    return words.join(small(wanted), ["cls", "word"]).groupBy("cls", "field", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+POSTINGS = "id long, cls string, term string, title int, content int, dl_title int, dl_content int"
+
+
+def doc_terms(docs: DataFrame, stems: bool = False) -> DataFrame:
+    """(id, cls, term, title, content, dl_title, dl_content): how often each term stands in the fields of a text, and the fields' lengths.
+
+    A text lies in one row, so its terms are counted where it lies; each text
+    also has a row without a term.  stems: terms of prose are stems of words that
+    are no stop words.
+    """
+    kept = docs.select("id", "cls", *[F.coalesce(class_words(F.col(f)) if stems else tokens(F.col(f)), F.array().cast("array<string>")).alias(f) for f in WEIGHTS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            fields = [b.column(f) for f in WEIGHTS]
+            sizes = [np.diff(f.offsets.to_numpy()) for f in fields]
+            rows = [np.repeat(np.arange(n), k) for k in sizes]
+            coded = pa.concat_arrays([f.flatten() for f in fields]).dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            as_is = np.arange(len(names))
+            if stems:
+                vocabulary = {w: k for k, w in enumerate(names)}
+                stemmed_ = np.array([vocabulary.setdefault(stem(w), len(vocabulary)) for w in names], np.int64)
+                names = list(vocabulary)
+                prose = np.array([c == "prose" for c in b.column("cls").to_pylist()], bool)
+            codes = np.split(coded.indices.to_numpy().astype(np.int64), [len(rows[0])])
+            width = len(names) + 1  # the last code: no term
+            keys, counts = [], []
+            for row, code in zip(rows, codes, strict=True):
+                term = np.where(prose[row], stemmed_[code], as_is[code]) if stems and len(code) else code
+                k, c = np.unique(row * width + term, return_counts=True)
+                keys.append(k)
+                counts.append(c)
+            every = np.unique(np.concatenate([*keys, np.arange(n) * width + width - 1]))
+            tf = [np.zeros(len(every), np.int32) for _ in fields]
+            for t, k, c in zip(tf, keys, counts, strict=True):
+                t[np.searchsorted(every, k)] = c
+            owner = pa.array(every // width)
+            terms = pa.array([*names, None], pa.string()).take(pa.array(every % width))
+            lengths = [pa.array(k.astype(np.int32)).take(owner) for k in sizes]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(owner), b.column("cls").take(owner), terms, *(pa.array(t) for t in tf), *lengths], names=["id", "cls", "term", "title", "content", "dl_title", "dl_content"])
+
+    return kept.mapInArrow(run, POSTINGS)
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, stems: bool = False) -> DataFrame:
@@ -134,17 +166,19 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, stems: bool = False) -> Dat
     """
     terms = queries.select("query_id", "term").distinct()
     terms, on = (class_terms(terms), ["cls", "term"]) if stems else (terms, ["term"])
-    found = written(class_postings(docs, terms) if stems else postings(docs, terms), "postings")  # used twice; the texts are scanned once for it
-    lengths = docs.select("cls", *[(F.size(class_words(F.col(f))) if stems else token_count(F.col(f))).alias(f) for f in WEIGHTS])
-    sums = lengths.groupBy("cls").agg(F.count(F.lit(1)).alias("n_docs"), *[F.avg(f).alias(f) for f in WEIGHTS])
-    stats = sums.select("cls", "n_docs", F.explode(F.create_map(*[x for f in WEIGHTS for x in (F.lit(f), F.col(f))])).alias("field", "mean_dl"))
-    df = found.groupBy("cls", "field", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), ["cls", "field"])  # stats: two rows per class
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.coalesce(F.try_divide(F.col("dl"), F.col("mean_dl")), F.lit(0.0)))
-    weight = F.when(F.col("field") == "title", WEIGHTS["title"]).otherwise(WEIGHTS["content"])
-    scored = found.join(df, ["cls", "field", "term"]).withColumn("part", weight * idf * F.col("tf") * (K1 + 1) / norm)
+    asked = small(terms.select(*on).distinct().withColumn("__asked", F.lit(True)))
+    # Used three times; the texts are read and cut once for it.
+    found = written(doc_terms(docs, stems).join(asked, on, "left").where("__asked or term is null").drop("__asked").select("id", "cls", "term", *WEIGHTS, "dl_title", "dl_content"), "postings")
+    stats = found.where("term is null").groupBy("cls").agg(F.count(F.lit(1)).alias("n_docs"), *[F.avg(f"dl_{f}").alias(f"mean_{f}") for f in WEIGHTS])
+    found = found.where("term is not null")
+    df = found.groupBy("cls", "term").agg(*[F.sum((F.col(f) > 0).cast("int")).alias(f"df_{f}") for f in WEIGHTS]).join(F.broadcast(stats), "cls")  # stats: one row per class
+    part = F.lit(0.0)
+    for f, weight in WEIGHTS.items():
+        idf = F.log(1 + (F.col("n_docs") - F.col(f"df_{f}") + 0.5) / (F.col(f"df_{f}") + 0.5))
+        norm = F.col(f) + K1 * (1 - B + B * F.coalesce(F.try_divide(F.col(f"dl_{f}"), F.col(f"mean_{f}")), F.lit(0.0)))
+        part = part + F.when(F.col(f) > 0, weight * idf * F.col(f) * (K1 + 1) / norm).otherwise(0.0)
+    by_term = found.join(small(df), ["cls", "term"]).select("cls", "id", "term", part.alias("part")).repartition("cls", "id")
     # By text from here on: what queries of many terms share with a text is summed where it lies.
-    by_term = scored.repartition("cls", "id").groupBy("cls", "id", "term").agg(F.sum("part").alias("part"))
     per_query = ["query_id", *on[:-1]]
     counts = terms.groupBy(*per_query).agg(F.count(F.lit(1)).alias("n_terms"))
     wanted = small(terms.join(counts, per_query))
