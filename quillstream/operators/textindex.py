@@ -34,10 +34,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
-def token_count(text: Column) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"))
-
-
 def _stems(words: pd.Series) -> pd.Series:
     return words.map(stem)
 
