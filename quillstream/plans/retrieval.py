@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstream.functions.wire import hit_wire_size
 from quillstream.operators import hits as H
 from quillstream.operators import textindex as T
+from quillstream.operators.bestfirst import best_hits
 from quillstream.operators.numbering import numbered
 from quillstream.plans.registry import query
 from quillstream.sources.tables import read_table, spread, written
@@ -112,7 +113,9 @@ def search_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is found with the titles of the documents whose id is divisible by 20, among all documents."""
     corpus = _corpus(spark, sf_dir)
     queries = corpus.where("id % 20 = 0").select(F.col("id").alias("query_id"), "title")
-    return T.fused(T.class_ranks(T.bm25_scores(corpus, T.query_terms(queries, "title")))).select("query_id", "position", "id", "score", "matches_all")
+    hits, members = best_hits(corpus, T.query_terms(queries, "title"))
+    best = T.fused(T.class_ranks(hits.withColumnRenamed("set", "query_id"))).withColumnRenamed("query_id", "set")
+    return best.join(members, "set").select("query_id", "position", "id", "score", "matches_all")
 
 
 _SOURCE = "SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 1"
