@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from quillstream.operators.textindex import B, K1, LIMIT, WEIGHTS, tokens
 from quillstream.sources.tables import written
 
-#: Texts of a task's first block (it gives a first bound), how many times larger each next one is, and texts of the largest; queries of one pass; layers of a term.
-FIRST_BLOCK, GROWTH, BLOCK, SLICE, LAYERS = 2_048, 8, 131_072, 100_000, 2
+#: Texts of a task's first block (it gives a first bound) and of the others (a worker holds one: about 100 terms of 60 bytes a text); queries of one pass; layers of a term.
+FIRST_BLOCK, BLOCK, SLICE, LAYERS = 16_384, 49_152, 100_000, 2
 #: Scores are rounded to six digits: what is nearer than this to the bound is looked at.
 NEAR = 2e-6
 #: Added to the score of a text with all terms, far above any score.
@@ -104,11 +104,12 @@ class Postings:
             held = np.flatnonzero(np.diff(self.starts))
             top[held] = np.maximum.reduceat(self.parts, self.starts[held])
             # Each layer ends at half of the one above it.
-            layer = np.minimum(-np.log2(np.maximum(self.parts / top[codes], 1e-9)), LAYERS - 1).astype(np.int64)
+            layer = np.minimum(-np.log2(np.maximum(self.parts / top[codes], 1e-9)), LAYERS - 1).astype(np.int32)
             key = codes * LAYERS + layer
+            self.layer_starts = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=n_terms * LAYERS))])
             by = np.argsort(key, kind="stable")
+            del layer, key, codes, order  # a block's arrays are most of a worker's memory
             self.layer_docs, self.layer_parts = self.docs[by], self.parts[by]
-            self.layer_starts = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=n_terms * LAYERS))])
             self.tops = np.zeros(n_terms * LAYERS)
             held = np.flatnonzero(np.diff(self.layer_starts))
             self.tops[held] = np.maximum.reduceat(self.layer_parts, self.layer_starts[held])
@@ -117,76 +118,70 @@ class Postings:
             self.below = np.maximum.accumulate(self.tops[:, ::-1], axis=1)[:, ::-1]
 
     def at(self, code: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the texts hold a term, and its places in `parts`."""
+        """Which of the texts hold a term that the block holds, and its places in `parts`."""
         a, z = self.starts[code], self.starts[code + 1]
-        if a == z:
-            return np.zeros(len(docs), bool), np.zeros(len(docs), np.int64)
-        place = np.minimum(np.searchsorted(self.docs[a:z], docs), z - a - 1) + a
+        place = self.docs[a:z].searchsorted(docs)
+        place += a
+        np.minimum(place, z - 1, out=place)
         return self.docs[place] == docs, place
 
-    def scores(self, terms: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Scores of the texts, their parts summed up in the order of the query's terms, so that equal texts score the same."""
-        total = np.zeros(len(docs))
-        for t in terms:
-            there, place = self.at(t, docs)
-            total += np.where(there, self.parts[place], 0.0)
-        return _rounded(total)
-
     def search(self, terms: np.ndarray, best: tuple[np.ndarray, np.ndarray] | None, most: int) -> tuple[np.ndarray, np.ndarray] | None:
         """best: keys (scores, raised by ALL for texts with all terms) and ids of the best texts so far; returned with those of the block."""
         length = self.starts[terms + 1] - self.starts[terms]
         if not length.any():
             return best
-        whole = np.zeros(0, np.int32)
-        if length.all():
-            by = terms[np.argsort(length)]
-            whole = self.docs[self.starts[by[0]] : self.starts[by[0] + 1]]
+        held = terms[length > 0]
+        below = self.below[held]
+        rest = below[:, 0].sum()
+        bound = best[0][-1] - NEAR if best is not None and len(best[0]) == most else -np.inf
+        whole = None
+        if len(held) == len(terms) and rest + ALL >= bound:
+            by = terms[length.argsort()]
+            a, z = self.starts[by[0]], self.starts[by[0] + 1]
+            whole, total = self.docs[a:z], self.parts[a:z]
             for t in by[1:]:
+                there, place = self.at(t, whole)
+                whole, total = whole[there], total[there] + self.parts[place[there]]
                 if not len(whole):
                     break
-                whole = whole[self.at(t, whole)[0]]
             if len(whole):
-                best = _joined(best, self.scores(terms, whole) + ALL, self.ids[whole], most)
-        bound = best[0][-1] - NEAR if best is not None and len(best[0]) == most else -np.inf
-        held = terms[length > 0]
-        below = self.below[held]
-        rest = below[:, 0].sum()
+                best = _joined(best, _rounded(total) + ALL, self.ids[whole], most)
+                bound = best[0][-1] - NEAR if len(best[0]) == most else -np.inf
         if bound >= ALL / 2 or rest < bound:
             return best
         tops = self.tops[held].ravel()
-        order = np.argsort(-tops, kind="stable")
-        order = order[: np.count_nonzero(tops)]
-        sums, left = self.sums, np.zeros(len(held), np.int64)  # left: the first layer of each term that isn't done
-        for k in order.tolist():
+        order = (-tops).argsort(kind="stable")[: np.count_nonzero(tops)]
+        places = (held[:, None] * LAYERS + np.arange(LAYERS)).ravel()[order]
+        begins, ends = self.layer_starts[places].tolist(), self.layer_starts[places + 1].tolist()
+        # By term what its layers from each on, and at last none, add at most; the first layer that isn't done.
+        most_left, left = [[*x, 0.0] for x in below.tolist()], [0] * len(held)
+        sums = self.sums
+        for k, a, z in zip(order.tolist(), begins, ends, strict=True):
             if rest < bound:
                 break
             i, layer = divmod(k, LAYERS)
-            at = held[i] * LAYERS + layer
-            a, z = self.layer_starts[at], self.layer_starts[at + 1]
             sums[self.layer_docs[a:z]] += self.layer_parts[a:z]
-            after = below[i, layer + 1] if layer + 1 < LAYERS else 0.0
-            rest += after - below[i, left[i]]
+            rest += most_left[i][layer + 1] - most_left[i][left[i]]
             left[i] = layer + 1
         if bound == -np.inf and self.n > most:
             bound = np.partition(sums, self.n - most)[self.n - most] - NEAR
-        found = np.flatnonzero(sums >= max(bound - rest, 1e-12))
+        found = (sums >= max(bound - rest, 1e-12)).nonzero()[0]
+        total = sums[found]
         if len(found):
             # The terms with layers left, those that add most first: a text goes as soon as they can't lift it.
-            open_ = [i for i in range(len(held)) if left[i] < LAYERS and below[i, left[i]] > 0]
-            open_.sort(key=lambda i: -below[i, left[i]])
-            total = sums[found]
-            for i in open_:
+            for more, i in sorted(((most_left[i][k], i) for i, k in enumerate(left) if most_left[i][k]), reverse=True):
                 there, place = self.at(held[i], found)
-                low = self.parts[place]
-                most_left = below[i, left[i]]
-                total = total + np.where(there & (low <= most_left), low, 0.0)
-                rest -= most_left
+                part = self.parts[place]
+                there &= part <= more  # what is larger lies in a layer that is done
+                total[there] += part[there]
+                rest -= more
                 keep = total >= bound - max(rest, 0.0)
                 found, total = found[keep], total[keep]
         sums.fill(0.0)
-        if len(whole) and len(found):
-            found = found[~np.isin(found, whole)]
-        return _joined(best, self.scores(terms, found), self.ids[found], most) if len(found) else best
+        if whole is not None and len(whole) and len(found):
+            fresh = ~np.isin(found, whole)
+            found, total = found[fresh], total[fresh]
+        return _joined(best, _rounded(total), self.ids[found], most) if len(found) else best
 
 
 def _rounded(scores: np.ndarray) -> np.ndarray:
@@ -226,7 +221,7 @@ class Corpus:
             lists = [own[f].combine_chunks() for f in ("terms", *WEIGHTS)]
             lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
             owner = np.repeat(np.arange(own.num_rows), np.diff(lists[0].offsets.to_numpy()))
-            codes = lists[0].flatten().to_numpy().astype(np.int64)
+            codes = lists[0].flatten().to_numpy()
             parts = np.zeros(len(codes))
             for (f, weight), tf, idf, mean in zip(WEIGHTS.items(), lists[1:], idfs, means, strict=True):
                 tf, dl = tf.flatten().to_numpy().astype(float), own[f"dl_{f}"].to_numpy()
@@ -237,7 +232,7 @@ class Corpus:
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches joined to a small first block and to larger and larger ones."""
+    """Batches joined to a small first block and to large ones."""
     held, n, most = [], 0, FIRST_BLOCK
     for b in batches:
         while b.num_rows:
@@ -246,7 +241,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             n += head.num_rows
             if n == most:
                 yield pa.Table.from_batches(held)
-                held, n, most = [], 0, min(most * GROWTH, BLOCK)
+                held, n, most = [], 0, BLOCK
     if held:
         yield pa.Table.from_batches(held)
 
@@ -270,7 +265,7 @@ def best_hits(docs: DataFrame, queries: DataFrame, limit: int = LIMIT) -> tuple[
     rows = written(term_rows(docs, names), "term-rows")
     stats = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n_docs"), *[F.avg(f"dl_{f}").alias(f"mean_{f}") for f in WEIGHTS]).collect()  # one row per class
     whole = spark.sparkContext.broadcast(Corpus(stats, frequencies(rows, n_terms).toArrow(), n_terms))
-    few = rows.coalesce(2 * spark.sparkContext.defaultParallelism)  # each task hands on its best hits of every query
+    few = rows.coalesce(spark.sparkContext.defaultParallelism)  # each task hands on its best hits of every query
     found = None
     for k in range(0, max(len(numbers), 1), SLICE):
         z = min(k + SLICE, len(numbers))
