@@ -32,6 +32,8 @@ FIRST_BLOCK, BLOCK, SLICE, LAYERS = 16_384, 49_152, 100_000, 2
 NEAR = 2e-6
 #: Added to the score of a text with all terms, far above any score.
 ALL = 2.0**20
+#: Stands for a missing id, which comes first.
+NO_ID = -(2**63)
 
 ROWS = "id long, cls string, dl_title int, dl_content int, terms array<int>, title array<int>, content array<int>"
 
@@ -227,7 +229,7 @@ class Corpus:
                 tf, dl = tf.flatten().to_numpy().astype(float), own[f"dl_{f}"].to_numpy()
                 norm = K1 * (1 - B + B * (dl / mean if mean else np.zeros(len(dl))))
                 parts += np.where(tf > 0, weight * idf[codes] * tf * (K1 + 1) / (tf + norm[owner]), 0.0)
-            out[c] = Postings(own["id"].to_numpy(), owner, codes, parts, self.n_terms)
+            out[c] = Postings(pc.fill_null(own["id"], NO_ID).to_numpy(), owner, codes, parts, self.n_terms)
         return out
 
 
@@ -292,6 +294,6 @@ def _searching(whole, own, most: int):
                 keys, ids = (np.concatenate([kept[q][j] for q in some]) for j in (0, 1))
                 sets = np.repeat(numbers[some], [len(kept[q][0]) for q in some])
                 full = keys >= ALL / 2
-                yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array([c] * len(sets), pa.string()), pa.array(ids), pa.array(np.where(full, _rounded(keys - ALL), keys)), pa.array(full)], names=["set", "cls", "id", "score", "matches_all"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array([c] * len(sets), pa.string()), pa.array(ids, mask=ids == NO_ID), pa.array(np.where(full, _rounded(keys - ALL), keys)), pa.array(full)], names=["set", "cls", "id", "score", "matches_all"])
 
     return run

@@ -58,6 +58,12 @@ def test_empty_corpus_and_no_queries(spark):
     assert [(r.id, r.matches_all) for r in S.best_hits(docs, queries)[0].collect()] == [(1, True)]
 
 
+def test_a_text_without_an_id_is_found(spark):
+    docs = spark.createDataFrame([(1, "prose", "a", "a b"), (None, "prose", "a", "a b"), (2, "code", "", "")], CORPUS)
+    hits, _ = S.best_hits(docs, spark.createDataFrame([(1, "a")], "query_id long, term string"))
+    assert {(r.id, r.score) for r in hits.collect()} == {(k, hits.first().score) for k in (1, None)}
+
+
 @pytest.mark.parametrize("most", [1, 3, 10])
 def test_blocks_with_bounds_give_what_all_sums_give(most):
     rng = np.random.default_rng(most)
